@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixing, warc
+from . import ans, mixing, warc
 
 QUERIES = {
+    "op4_rans": ans.op4_rans,
     "op5_mix": mixing.op5_mix,
     "op9_warc": warc.op9_warc,
 }
