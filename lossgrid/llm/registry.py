@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ans, mixing, warc
+from . import ans, mixing, packing, warc
 
 QUERIES = {
+    "op3_pack": packing.op3_pack,
     "op4_rans": ans.op4_rans,
     "op5_mix": mixing.op5_mix,
     "op9_warc": warc.op9_warc,
