@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ans, mixing, packing, warc
+from . import ans, mixing, packing, topk, warc
 
 QUERIES = {
+    "op7_topk": topk.op7_topk,
     "op3_pack": packing.op3_pack,
     "op4_rans": ans.op4_rans,
     "op5_mix": mixing.op5_mix,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_topk": topk.SQL,
     "op5_mix": mixing.SQL,
     "op9_warc": warc.SQL,
 }
