@@ -260,9 +260,9 @@ def count_ids(coded: DataFrame, size: int) -> np.ndarray:
 
 def write_files(coded: DataFrame, folder: str, table: Table, segment: int = SEGMENT) -> DataFrame:
     """Write coded (doc_id, ids) as segment files in ascending doc_id order (null last; repeated ids in the
-    order of their ids). Returns the manifest: path, part, nth, docs, tokens."""
+    order of a hash of their ids). Returns the manifest: path, part, nth, docs, tokens."""
     parts = max(1, int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("ids")]
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("ids")]  # Spark samples this key to the driver, so not the ids themselves
     freqs = table.freq
 
     def run(batches):
