@@ -21,7 +21,7 @@ END = 2
 #: Pieces that a worker keeps: the first that it meets, so the frequent ones are among them.
 KEEP = 500_000
 #: White space and assigned characters up to U+024F whose class, case and normal form no library version disputes.
-_EVERYDAY = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
+_EVERYDAY = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*")
 
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
