@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ans, licenses, mixing, packing, quality_rules, topk, warc
+from . import ans, crf, licenses, mixing, packing, quality_rules, topk, warc
 
 QUERIES = {
+    "op10_crf": crf.op10_crf,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op8_licenses": licenses.op8_licenses,
     "op7_topk": topk.op7_topk,
