@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ans, crf, licenses, mixing, packing, quality_rules, topk, toxicity, warc
+from . import ans, crf, licenses, mixing, near_dup, packing, quality_rules, topk, toxicity, warc
 
 QUERIES = {
+    "op6_near_dup": near_dup.op6_near_dup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op10_crf": crf.op10_crf,
     "op1_quality_rules": quality_rules.op1_quality_rules,
