@@ -1,4 +1,10 @@
 """All queries by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import triage_queries
+
+_PARTS = (triage_queries,)
+
+QUERIES: dict = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
+ORACLES: dict = {k: s for part in _PARTS for k, s in part.SQL.items()}
