@@ -1,0 +1,207 @@
+"""Rules at their boundaries, with hand-written rows, and the golden cases of the survey."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from lossgrid.functions import dates, text
+from lossgrid.operators import coverage, history, intake, register, reports, signals, triage
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)) if values else spark.range(1)
+    return row.select(column.alias("x")).head()["x"]
+
+
+@pytest.mark.parametrize("value, key, there", [(None, "a", False), ("", "a", False), (" NULL ", "a", False), ("None", "a", False), ("None", "hypothecation", True), ("nil", "endorsements", True), ("x", "a", True), ("not available", "a", False)])
+def test_presence(spark, value, key, there):
+    assert one(spark, text.is_present(F.col("v"), F.lit(key)), v=value) is there
+
+
+def test_text(spark):
+    assert one(spark, text.squeezed_loose(F.col("v")), v="MH03 rs4421 (Honda City)") == "MH03RS4421"
+    assert one(spark, text.date_part(F.col("v")), v="2024-03-05T10:00") == "2024-03-05"
+    assert one(spark, text.incident_key(F.col("v")), v=" accident_with_third party ") == "ACCIDENT_WITH_THIRD_PARTY"
+    assert one(spark, text.says_yes(F.col("v")), v="Yes, two") and not one(spark, text.says_yes(F.col("v")), v=" yes")
+    assert sorted(one(spark, text.token_set(F.col("v")), v="Motor Car (LMV)")) == ["CAR", "LMV", "MOTOR"]
+    same = lambda *v: one(spark, text.contained_in_each_other(F.array(*[F.lit(x) for x in v])))
+    assert same("MARUTI", "MARUTISUZUKI") and not same("MARUTI", "HONDA") and same("A")
+
+
+@pytest.mark.parametrize("value, day", [("05-Mar-2024", dt.date(2024, 3, 5)), ("05/03/2024", dt.date(2024, 3, 5)), ("2024-05-01", dt.date(2024, 5, 1)), ("05-Mar-2024 10:30", dt.date(2024, 3, 5)), ("junk", None), (None, None), ("", None)])
+def test_dates(spark, value, day):
+    assert one(spark, dates.parse_day(F.col("v")), v=value) == day
+
+
+def claim(spark, **over):
+    base = {
+        "claim_id": 1, "policy_number": "P1", "vehicle_reg": "V1", "member_id": "M1", "incident_type": "ACCIDENT_OWN", "incident_date": dt.date(2024, 6, 1), "received_date": dt.date(2024, 6, 2),
+        "policy_inception": dt.date(2023, 1, 1), "policy_status": "ACTIVE", "hypothecated": False, "idv": 400000.0, "waiting_period_days": 30, "ncb_percent": 20.0, "injury_reported": "No", "legal_notice": "No",
+        "hypothecation_rc": "NIL", "authorised_classes": "LMV", "vehicle_class_rc": "Motor Car (LMV)", "owner_differs": False,
+    } | over
+    kinds = {dt.date: "date", bool: "boolean", float: "double", int: "long", str: "string", type(None): "string"}
+    fixed = {"incident_date": "date", "policy_inception": "date", "received_date": "date", "idv": "double", "owner_differs": "boolean", "vehicle_reg": "string", "waiting_period_days": "int"}
+    df = spark.createDataFrame([tuple(base.values())], ", ".join(f"{k} {fixed.get(k) or kinds[type(v)]}" for k, v in base.items()))
+    verdict = "STRUCT<narrative_coherence: STRUCT<triggered: STRING, reason: STRING>, key_status_concern: STRUCT<triggered: STRING, reason: STRING>, damage_severity_plausibility: STRUCT<triggered: STRING, reason: STRING>>"
+    ok = F.struct(F.lit("false").alias("triggered"), F.lit("fine").alias("reason"))
+    return df.withColumns({"failed_checks": F.array().cast("array<string>"), "verdict": F.struct(ok.alias("narrative_coherence"), ok.alias("key_status_concern"), ok.alias("damage_severity_plausibility")).cast(verdict)})
+
+
+PRIOR = "prior_id string, vehicle_reg string, member_id string, claim_date date, prior_type string, ncb_impact boolean, row_pos int"
+
+
+def assess(spark, priors=(), **over):
+    h = spark.createDataFrame(list(priors), PRIOR)
+    return triage.escalation(signals.evaluate(triage.waiting_period(history.full_history(claim(spark, **over), h)))).head()
+
+
+@pytest.mark.parametrize("day, days, active, before", [(0, 0, True, False), (29, 29, True, False), (30, 30, False, False), (-1, -1, False, True)])
+def test_waiting_period(spark, day, days, active, before):
+    r = triage.waiting_period(claim(spark, policy_inception=dt.date(2024, 6, 1) - dt.timedelta(day))).head()
+    assert (r.days_since_inception, r.waiting_period_active, r.incident_pre_inception) == (days, active, before)
+
+
+def test_waiting_period_unknown(spark):
+    r = triage.waiting_period(claim(spark, policy_inception=None, waiting_period_days=0)).head()
+    assert (r.days_since_inception, r.waiting_period_active, r.waiting_confidence, r.waiting_days) == (None, False, "LOW", 30)
+
+
+def test_history_ranges(spark):
+    d = dt.date
+    priors = [("a", "V1", "M1", d(2021, 6, 1), "x", True, 1), ("b", "V1", "M2", d(2021, 5, 31), "x", True, 2), ("c", "V1", "M1", d(2024, 5, 2), "x", None, 3), ("d", "V1", "M1", d(2024, 6, 1), "x", True, 4), ("e", "V2", "M1", d(2023, 6, 1), "x", True, 5), ("f", None, None, d(2024, 5, 1), "x", True, 6)]
+    r = assess(spark, priors)
+    assert (r.prior_claims_36m_count, r.first_prior_id, r.latest_prior_id, r.days_since_last_claim, r.back_to_back_flag) == (2, "a", "c", 30, True)
+    assert (r.prior_claims_12m_count, r.repeat_claimant_flag, r.ncb_impact_claims) == (2, False, 1)
+    assert r.ncb_discrepancy.startswith("NCB is 20% on policy but 1 recent claim(s)")
+    none = assess(spark, priors, incident_date=None)
+    assert none.history_available is False and none.prior_claims_36m_count is None
+
+
+def test_history_leap_day(spark):
+    assert assess(spark, [("a", "V1", "M1", dt.date(2021, 2, 28), "x", True, 1)], incident_date=dt.date(2024, 2, 29)).prior_claims_36m_count == 1
+
+
+@pytest.mark.parametrize("over, codes", [
+    ({}, None), ({"received_date": dt.date(2024, 6, 8)}, None), ({"received_date": dt.date(2024, 6, 9)}, "LATE_FNOL_OVER_7_DAYS"),
+    ({"idv": 500000.0, "incident_type": "FIRE"}, None), ({"idv": 500001.0, "incident_type": "fire"}, "HIGH_VALUE_CLAIM"), ({"injury_reported": "TRUE"}, "THIRD_PARTY_BODILY_INJURY"),
+    ({"incident_type": "Theft Complete", "hypothecated": True, "hypothecation_rc": "HDFC"}, "THEFT_WITH_ACTIVE_LOAN"), ({"policy_inception": dt.date(2024, 5, 20)}, "INCIDENT_IN_WAITING_PERIOD"),
+    ({"legal_notice": "yes"}, "LEGAL_NOTICE_OR_TRIBUNAL"), ({"policy_inception": dt.date(2024, 6, 2)}, "INCIDENT_BEFORE_POLICY_START"), ({"policy_status": "lapsed"}, "POLICY_NOT_FOUND"),
+    ({"owner_differs": True, "vehicle_class_rc": "MCWG"}, "ELEVATED_REVIEW_INDICATORS"),
+])
+def test_escalation(spark, over, codes):
+    assert assess(spark, **over).escalation_reason == codes
+
+
+#: The saved outputs: incident type, days since inception, 36m, 12m, days since the last claim, late days, loan, idv, injury, reason.
+GOLDEN = [
+    ("ACCIDENT_WITH_THIRD PARTY", 848, 1, 0, 943, 20, False, 1e5, "No", "LATE_FNOL_OVER_7_DAYS"),
+    ("THEFT_COMPLETE", 756, 2, 3, 217, 20, True, 6e5, "No", "HIGH_VALUE_CLAIM|THEFT_WITH_ACTIVE_LOAN|LATE_FNOL_OVER_7_DAYS|REPEAT_CLAIMANT"),
+    ("ACCIDENT_WITH_THIRD_PARTY_INJURY", 783, 2, 2, 12, 20, False, 6e5, "Yes", "HIGH_VALUE_CLAIM|THIRD_PARTY_BODILY_INJURY|BACK_TO_BACK_CLAIMS|LATE_FNOL_OVER_7_DAYS"),
+    ("ACCIDENT_OWN", 845, 0, 0, None, -15, False, 1e5, "No", None),
+]
+
+
+@pytest.mark.parametrize("kind, days, n36, n12, last, late, loan, idv, injury, reason", GOLDEN)
+def test_golden(spark, kind, days, n36, n12, last, late, loan, idv, injury, reason):
+    at = dt.date(2026, 6, 1)
+    own = [(f"v{i}", "V1", "other", at - dt.timedelta(last if i == 0 else 1000), "x", False, i) for i in range(n36)]
+    member = [(f"m{i}", "V9", "M1", at - dt.timedelta(40 + i), "x", False, i) for i in range(n12)]
+    r = assess(spark, own + member, incident_type=kind, incident_date=at, policy_inception=at - dt.timedelta(days), received_date=at + dt.timedelta(late), hypothecated=loan, hypothecation_rc="HDFC" if loan else "NIL", idv=idv, injury_reported=injury)
+    assert (r.prior_claims_36m_count, r.prior_claims_12m_count, r.days_since_last_claim, r.escalation_reason) == (n36, n12, last, reason)
+
+
+def test_signals(spark):
+    r = assess(spark, policy_inception=dt.date(2024, 6, 1) - dt.timedelta(45), owner_differs=None, authorised_classes=None)
+    hit = {s.code: s for s in r.signals}
+    assert len(r.signals) == 12 and hit["BIND_AND_GRIND"].triggered and r.score == 3 and r.band == "MEDIUM" and r.confidence == "MODERATE"
+    assert not hit["OWNER_NAME_MISMATCH"].data_complete and not hit["DL_CLASS_MISMATCH"].data_complete
+    assert not {s.code: s for s in assess(spark, policy_inception=dt.date(2024, 6, 1) - dt.timedelta(46)).signals}["BIND_AND_GRIND"].triggered
+    assert r.adjuster_summary.startswith("1 of 12 elevated-review indicators are present — Confidence: MODERATE. Review")
+
+
+def test_verdict(spark):
+    part = '{"triggered": true, "confidence": "HIGH", "reason": "r"}'
+    good = f'{{"narrative_coherence": {part}, "key_status_concern": {part[:-1]}, "applicable": "false"}}, "damage_severity_plausibility": {part}}}'
+    assert one(spark, signals.parse_verdict(F.col("v")), v=good).narrative_coherence.triggered == "true"
+    for bad in (good.replace('"r"', '""', 1), good.replace("HIGH", "SURE", 1), "{}", "junk", None):
+        assert one(spark, signals.parse_verdict(F.col("v")), v=bad) is None
+
+
+@pytest.mark.parametrize("hours, level, over", [(5.9, "LOW", False), (6, "MEDIUM", False), (18, "HIGH", False), (24, "CRITICAL", False), (24.1, "CRITICAL", True)])
+def test_aging(spark, hours, level, over):
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(at,)], "t timestamp_ntz")
+    r = triage.aging(df, F.col("t"), F.lit(at + dt.timedelta(hours=hours))).head()
+    assert (r.aging_risk_level, r.sla_breached, r.sla_due) == (level, over, "02-Jan-2024 00:00")
+
+
+def test_status(spark):
+    s = lambda p, e, m: one(spark, triage.status(F.lit(p), F.lit(e), F.lit(m)))
+    assert [s("Lapsed", True, True), s("ACTIVE", True, True), s(None, False, True), s("ACTIVE", False, False)] == ["EXCEPTION_RAISED", "ESCALATED", "PENDED_FOR_INPUTS", "COMPLETE"]
+
+
+DOC = "claim_id int, page int, doc_type string, fields map<string,string>"
+
+
+def test_completeness_conditions(spark):
+    cat = spark.createDataFrame([("FIR", "A", "a", "MANDATORY", "", 1), ("FIR", "B", "b", "CONDITIONAL", "Required when fir_filed = Yes", 2), ("FIR", "C", "c", "CONDITIONAL", "never heard of", 3), ("FIR", "D", "d", "CONDITIONAL", "hospitalisation confirmed", 4)], "doc_type string, display_name string, json_key string, tier string, condition string, row_pos int")
+    docs = spark.createDataFrame([(1, 1, "FIR", {"a": "x", "fir_filed": " yes "}), (2, 1, "FIR", {"a": "x", "c": "y"}), (3, 1, "FIR", {}), (4, 1, "RC", {}), (5, 1, "UNKNOWN", {}), (6, 1, "FIR", {"a": "1", "c": "1", "hospital_name": "H", "injuries_reported": "two"})], DOC)
+    r = {x.claim_id: x for x in intake.completeness(docs, cat).collect()}
+    assert set(r) == {1, 2, 3, 4, 6}
+    assert (r[1].status, r[1].missing_conditional) == ("INCOMPLETE_CONDITIONAL", ["b", "c"])
+    assert r[2].status == "COMPLETE" and r[3].status == "INCOMPLETE_MANDATORY" and r[4].status == "SKIPPED" and r[6].missing_conditional == ["d"]
+
+
+def test_gap_conditions(spark):
+    m = spark.createDataFrame([("FIRE", "BLOCKING", "FIR", "FIR", "", "", 1), ("FIRE", "MANDATORY", "Bill", "BILL", "reimbursement = true", "", 2), ("FIRE", "RECOMMENDED", "TP", "TP", "tp_involved = true", "", 3)], "incident_type string, criticality string, document string, doc_type string, condition string, collection_by string, row_pos int")
+    claims = spark.createDataFrame([(1, "fire", {"claim_type_preferred": "Reimbursement", "third_party_involved": "true"}), (2, "FIRE", {}), (3, "", {}), (4, None, {}), (5, "storm", {})], "claim_id int, incident_type string, fields map<string,string>")
+    docs = spark.createDataFrame([(2, 1, " fir ", {})], DOC)
+    r = {x.claim_id: x for x in intake.document_gaps(claims, docs, m).collect()}
+    assert [g.status for g in r[1].gaps] == ["MISSING_BLOCKING", "MISSING_MANDATORY", "MISSING_RECOMMENDED"] and r[1].critical_missing
+    assert [g.status for g in r[2].gaps] == ["RECEIVED", "NOT_REQUIRED", "NOT_REQUIRED"] and r[2].gap_status == "COMPLETE"
+    assert all(r[i].gap_status == "SKIPPED" and not r[i].critical_missing for i in (3, 4, 5))
+
+
+def test_consistency(spark):
+    docs = spark.createDataFrame([(1, 1, "FNOL_REGISTRATION_FORM", {"vehicle_make": "Maruti", "policy_number": "p 1", "third_party_vehicle_reg": "X"}), (1, 2, "REGISTRATION_CERTIFICATE", {"make": "Maruti Suzuki India Ltd.", "insurance_policy_number": "P2"}), (1, 3, "DRIVING_LICENCE", {"licence_status": "INACTIVE"})], DOC)
+    r = {x.field: x for x in intake.consistency(docs).collect()}
+    assert len(r) == 9 and r["vehicle_make"].status == "PASS" and r["policy_number"].status == "FAIL" and r["fir_number"].status == "SKIPPED" and r["driving_licence_validity"].status == "PASS"
+    assert "third_party_vehicle_reg" not in r and r["policy_number"].detail == "Mismatch: FNOL Form=p 1, RC=P2"
+
+
+def test_summary(spark):
+    docs = spark.createDataFrame([(1, 2, "FIR", {"fir_number": "second"}), (1, 1, "FIR", {"fir_number": "first"}), (1, 3, "FNOL_REGISTRATION_FORM", {"fir_number": "a"}), (1, 4, "FNOL_REGISTRATION_FORM", {"fir_number": "b"})], DOC)
+    r = intake.extracted_summary(docs).head()
+    assert (r.fir_number_fir, r.fir_number_fnol, r.documents_found) == ("first", "b", ["FIR", "FIR", "FNOL_REGISTRATION_FORM", "FNOL_REGISTRATION_FORM"])
+
+
+def test_policy_lookup(spark):
+    pol = spark.createDataFrame([("P1", "V1", 1), ("P1", "V2", 2), ("P2", "v1 ", 0)], "policy_number string, vehicle_reg string, row_pos int")
+    asked = spark.createDataFrame([(1, " P1 ", None), (2, "none", "V1"), (3, "x", "y"), (4, None, None), (5, "", "")], "claim_id int, policy_number string, vehicle_reg string")
+    r = {x.claim_id: x for x in coverage.find_policy(asked, pol).collect()}
+    assert (r[1].p.vehicle_reg, r[1].found_by) == ("V1", "policy_number") and (r[2].p.policy_number, r[2].found_by) == ("P2", "vehicle_reg")
+    assert all(r[i].found_by is None for i in (3, 4, 5)) and len(r) == 5
+
+
+def test_coverage_rollup_empty_verdict(spark):
+    claims = spark.createDataFrame([(1, "ACTIVE"), (2, "LAPSED"), (3, "ACTIVE")], "claim_id int, policy_status string")
+    fit = spark.createDataFrame([(1, "c")], "claim_id int, clause_ref string")
+    r = {x.claim_id: x for x in coverage.coverage_rollup(claims, fit, spark.createDataFrame([], "claim_id int, status string, confidence string")).collect()}
+    assert (r[1].coverage_confidence, r[1].coverage_applicable) == ("HIGH", False) and r[2].coverage_case == "NOT_COVERED" and r[3].coverage_confidence == "LOW"
+
+
+def test_register(spark):
+    reg = spark.createDataFrame([("FNOL-2024-0009", 1, "PENDING", 1), ("FNOL-2024-0009", 2, "PENDING", 2), ("FNOL-x-abc", 3, "PENDING", 3), ("OLD-2024-0099", 4, "PENDING", 4)], "fnol_id string, member_id int, triage_status string, row_pos int")
+    for c, t in (("escalation_flag", "boolean"), ("escalation_reason", "string"), ("triage_json_path", "string"), ("triage_pdf_path", "string")):
+        reg = reg.withColumn(c, F.lit(None).cast(t))
+    assert register.next_number(reg, 2026).head().fnol_id == "FNOL-2026-0010"
+    assert register.next_number(reg.limit(0), 2026).head().fnol_id == "FNOL-2026-0001"
+    ch = spark.createDataFrame([("FNOL-2024-0009", "ESCALATED", True, "X", "j", None), ("no", "E", True, None, None, None)], "fnol_id string, triage_status string, escalation_flag boolean, escalation_reason string, triage_json_path string, triage_pdf_path string")
+    assert [r.triage_status for r in register.update(reg, ch).orderBy("row_pos").collect()] == ["ESCALATED", "PENDING", "PENDING", "PENDING"]
+    assert [r.fnol_id for r in register.unmatched(reg, ch).collect()] == ["no"]
+
+
+def test_summary_lines(spark):
+    df = spark.createDataFrame([(1, "Opening line\n\n• first\n1. sub one\nplain"), (2, "")], "id int, text string")
+    assert [(r.kind, r.text) for r in reports.summary_lines(df).orderBy("pos").collect()] == [("opening", "Opening line"), ("bullet", "first"), ("sub", "sub one"), ("bullet", "plain")]
