@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import on_workers
+
 #: Incident types.
 INCIDENT_TYPES = ("ACCIDENT_OWN", "ACCIDENT_WITH_THIRD_PARTY", "ACCIDENT_WITH_THIRD_PARTY_INJURY", "THEFT_COMPLETE", "THEFT_PARTIAL", "FIRE", "FLOOD_OR_NATURAL_CALAMITY", "VANDALISM", "THIRD_PARTY_CLAIM_ONLY", "PERSONAL_ACCIDENT", "OTHER")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
