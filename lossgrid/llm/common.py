@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import on_workers
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lossgrid-")
+        own = tempfile.mkdtemp(prefix="lossgrid-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -35,15 +39,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where it is, if it isn't installed."""
-    top = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if top not in have:
-        env["PYTHONPATH"] = os.pathsep.join([top, *have])
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
