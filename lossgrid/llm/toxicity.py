@@ -24,14 +24,14 @@ IDENTITY = [
     ("frauen", "männer"), ("muslime", "christen"), ("juden", "katholiken"), ("schwarze", "weiße"), ("mujeres", "hombres"), ("musulmanes", "cristianos"), ("judíos", "católicos"), ("negros", "blancos"),
 ]
 #: Bounds of the training sample: documents with the label and without.
-SAMPLE = {1: 2000, 0: 4000}
+SAMPLE = {1: 1500, 0: 3000}
 #: Features: those in so many documents of the sample at least, and the most telling of them.
 LEAST_DOCS = 4
-FEATURES = 3000
+FEATURES = 2000
 LEAST_Z = 3.5
 SWAP_WEIGHT = 5.0
 RIDGE = 2e-3
-STEPS = 400
+STEPS = 250
 #: Lengths of the word beginnings.
 STARTS = (4, 5, 6, 7)
 #: Words whose features a worker keeps.
@@ -92,72 +92,86 @@ def _swapped(words: set[str], pick: int) -> tuple[set[str], set[str]]:
     return words | {a}, words | {b}
 
 
-def fit(texts: list[set[str]], labels: list[int], steps: int = STEPS) -> Model:
-    """texts: the words of each. Logistic loss with each label as heavy as the other, a ridge, and SWAP_WEIGHT times the
-    mean square of what swapping identity terms changes in the log odds."""
-    y = np.array(labels, dtype=float)
-    counts = [Counter(f for w in t for f in features_of(w)) for t in texts]
-    pairs = []
-    for k, t in enumerate(texts):
-        a, b = _swapped(t, k)
-        pairs.append(tuple(Counter(f for w in s for f in features_of(w)) for s in (a - b, b - a)))
-    seen = {label: Counter() for label in (0, 1)}
-    for c, label in zip(counts, labels):
-        seen[label].update(c.keys())
-    n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    z = {}
-    for f in seen[0].keys() | seen[1].keys():
-        k1, k0 = seen[1][f], seen[0][f]
-        if k1 + k0 >= LEAST_DOCS:
-            p = (k1 + k0 + 1) / (n[1] + n[0] + 2)
-            z[f] = abs(k1 / n[1] - k0 / n[0]) / np.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]))
-    told = sorted((f for f in z if z[f] >= LEAST_Z), key=lambda f: (-z[f], f))[:FEATURES]
-    named = {f for pair in IDENTITY for w in pair for f in features_of(w)}
-    ids = np.array(sorted({*told, *(named & z.keys())}), dtype=np.uint64)
-    place = {int(f): i for i, f in enumerate(ids)}
+def _counted(words: set[str]) -> Counter:
+    return Counter(f for w in words for f in features_of(w))
+
+
+def _row(words: set[str], place: dict[int, int], pick: int) -> tuple[dict[int, float], dict[int, float]]:
+    """Values of the chosen features, and what swapping identity terms takes from them."""
+    def values(w: set[str]) -> dict[int, float]:
+        return {place[f]: float(np.log2(1 + n)) for f, n in _counted(w).items() if f in place}
+
+    one, other = (values(w) for w in _swapped(words, pick))
+    gap = {i: one.get(i, 0.0) - other.get(i, 0.0) for i in one.keys() | other.keys()}
+    return values(words), {i: g for i, g in gap.items() if g}
+
 
-    x = np.zeros((len(texts), len(ids) + 2), np.float32)
-    swap = np.zeros_like(x)
-    for r, (c, t, (gone, come)) in enumerate(zip(counts, texts, pairs)):
-        for f, k in c.items():
-            if (i := place.get(f)) is not None:
-                x[r, i] = np.log2(1 + k)
-        for f in gone.keys() | come.keys():
-            if (i := place.get(f)) is not None:
-                base = c[f] - (gone[f] if len(gone) and any(w in _SWAP for w in t) else 0)
-                swap[r, i] = np.log2(1 + base + gone[f]) - np.log2(1 + base + come[f])
-        x[r, -2:] = np.log1p(len(t)), 1
-    weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32)
+def fit(ids: np.ndarray, rows: list[tuple[dict, dict, int]], labels: list[int], steps: int = STEPS) -> Model:
+    """rows: values, swap differences and number of words of each text. Logistic loss with each label as heavy as the
+    other, a ridge, and SWAP_WEIGHT times the mean square of what swapping identity terms changes in the log odds."""
+    y = np.array(labels, dtype=np.float32)
+    x = np.zeros((len(rows), len(ids) + 2), np.float32)
+    swap = np.zeros((len(rows), len(ids)), np.float32)
+    for r, (values, gaps, n) in enumerate(rows):
+        for i, v in values.items():
+            x[r, i] = v
+        for i, v in gaps.items():
+            swap[r, i] = v
+        x[r, -2:] = np.log1p(n), 1
     cols = np.flatnonzero(np.abs(swap).sum(axis=0) > 0)
-    swap = swap[:, cols]
-    theta, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    swap = swap[:, cols].copy()
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
+    theta, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for i in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -50, 50)))
         grad = x.T @ (weight * (p - y)) + RIDGE * np.append(theta[:-2], [0, 0])
-        grad[cols] += 2 * SWAP_WEIGHT / len(texts) * (swap.T @ (swap @ theta[cols]))
+        grad[cols] += 2 * SWAP_WEIGHT / len(rows) * (swap.T @ (swap @ theta[cols]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta - 0.03 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
-    return Model(ids, theta)
+        theta = (theta - 0.04 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)).astype(np.float32)
+    return Model(ids, theta.astype(float))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model | None:
     """Fit on so many documents of each label at most, the first by a hash of doc_id; rows held out and null labels
-    are left out. None if one label is missing."""
+    are left out. None if one label is missing. Only the chosen features' values reach the driver."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     by = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     picked = known.filter("y = 1").orderBy(*by).limit(sample[1]).unionByName(known.filter("y = 0").orderBy(*by).limit(sample[0]))
+    # as many ids as the sample is large are broadcast
+    chosen = common.save(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")
+    n = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return None
 
-    def run(batches):
+    def count(batches):
+        seen = {0: Counter(), 1: Counter()}
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "words": [" ".join(sorted(words_of(t))) for t in pdf["text"]]})
+            for y, t in zip(pdf["y"], pdf["text"]):
+                seen[int(y)].update(_counted(words_of(t)).keys())
+        for y, c in seen.items():
+            yield pd.DataFrame({"f": np.fromiter(c.keys(), np.int64, len(c)), "k1": [k * y for k in c.values()], "k0": [k * (1 - y) for k in c.values()]})
+
+    each = chosen.mapInPandas(count, "f long, k1 long, k0 long").groupBy("f").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")).filter(F.col("k1") + F.col("k0") >= LEAST_DOCS)
+    p = (F.col("k1") + F.col("k0") + 1) / (n[1] + n[0] + 2)
+    z = F.abs(F.col("k1") / n[1] - F.col("k0") / n[0]) / F.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]))
+    named = sorted({f for pair in IDENTITY for w in pair for f in features_of(w)})
+    told = each.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()
+    ids = np.array(sorted({*(r["f"] for r in told), *named}), dtype=np.uint64)
+    place = {int(f): i for i, f in enumerate(ids)}
 
-    # as many ids as the sample is large are broadcast, and the distinct words of its texts reach the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(run, "doc_id long, y int, words string").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["words"]))
-    if len({r["y"] for r in rows}) < 2:
-        return None
-    return fit([set(r["words"].split()) for r in rows], [r["y"] for r in rows])
+    def rows(batches):
+        for pdf in batches:
+            out = []
+            for d, y, t in zip(pdf["doc_id"], pdf["y"], pdf["text"]):
+                words = words_of(t)
+                x, gap = _row(words, place, int(d))
+                out.append((int(d), int(y), len(words), list(x), list(x.values()), list(gap), list(gap.values())))
+            yield pd.DataFrame(out, columns=["doc_id", "y", "n", "xi", "xv", "gi", "gv"])
+
+    got = chosen.mapInPandas(rows, "doc_id long, y int, n long, xi array<int>, xv array<float>, gi array<int>, gv array<float>").collect()
+    got = sorted(got, key=lambda r: (r["doc_id"], r["n"], r["xi"]))
+    return fit(ids, [(dict(zip(r["xi"], r["xv"])), dict(zip(r["gi"], r["gv"])), r["n"]) for r in got], [r["y"] for r in got])
 
 
 def scorer(model: Model | None):
