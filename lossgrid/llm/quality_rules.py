@@ -26,7 +26,7 @@ WINDOW = 5
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 #: Below these, too little is there to compare: characters for classes, words for common words.
-LEAST_CLASS_CHARS = 100
+LEAST_CLASS_CHARS = 400
 LEAST_COMMON_WORDS = 100
 #: Jensen-Shannon distances (square root, base 2) beyond which a text is not its language.
 MOST_CLASS_DISTANCE = 0.28
