@@ -2,8 +2,9 @@
 
 Rows with one text are one node from the start. Nodes that share a band's bucket are candidates. First every node is
 verified against the centres of its buckets only (a star, never all pairs of a group); what that joins
-is one component, and the rest of a bucket is compared across components, until each candidate pair is either
-in one component or known to be no link.
+is one component. Then every node is profiled against the root of the component that it is in or next to: which of the
+root's shingles it lacks and what it has besides. For two nodes of one root these profiles bound how many
+shingles they share; the join of a bucket's nodes across components makes only the pairs whose bound allows a link.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 #: Registers: the least prime that holds all bands, so that steps through them are permutations.
 REGISTERS = 241
+#: 64-bit words of each half of a profile.
+PROFILE = 16
 CHUNK_DOCS = 512
 CHUNK_SHINGLES = 400_000
 KEEP_WORDS = 300_000
@@ -166,6 +169,52 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def _bits(places: np.ndarray) -> list[int]:
+    """A bitmap of places modulo its length, as signed 64-bit words."""
+    on = np.zeros(PROFILE * 64, np.uint8)
+    on[(places % _U(PROFILE * 64)).astype(np.int64)] = 1
+    return np.packbits(on).view(">i8").astype(np.int64).tolist()
+
+
+def profile_of(own: np.ndarray, root: np.ndarray) -> tuple[int, list[int], int, int, list[int]]:
+    """Of a node against its root: shingles of both; bitmap of the root's that it lacks; its shingles beside the root's, how
+    many of these share a bit, and their bitmap."""
+    held = np.isin(root, own, assume_unique=True)
+    more = own[~np.isin(own, root, assume_unique=True)]
+    lacking, besides = _bits(np.flatnonzero(~held).astype(np.uint64)), _bits(more)
+    distinct = sum((w & 0xFFFFFFFFFFFFFFFF).bit_count() for w in besides)
+    return int(held.sum()), lacking, len(more), len(more) - distinct, besides
+
+
+def _profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (rid, root) with their profiles, and whether they are a link."""
+    pairs = pairs.join(texts, "rid").join(texts.select(F.col("rid").alias("root"), F.col("text").alias("root_text")), "root")
+
+    def run(batches):
+        last, root = None, None
+        for pdf in batches:
+            rows = []
+            for r, c, t, rt in zip(pdf["rid"], pdf["root"], pdf["text"], pdf["root_text"]):
+                if c != last:
+                    last, root = c, np.unique(shingles(rt))
+                own = np.unique(shingles(t))
+                both, lacking, more, extra, besides = profile_of(own, root)
+                rows.append((r, c, len(root), both, more, extra, lacking, besides, linked(own, root)))
+            yield pd.DataFrame(rows, columns=["rid", "root", "nr", "both", "more", "extra", "lacking", "besides", "link"])
+
+    schema = "rid long, root long, nr long, both long, more long, extra long, lacking array<long>, besides array<long>, link boolean"
+    return pairs.select("rid", "root", "text", "root_text").mapInPandas(run, schema)
+
+
+def _may_link() -> F.Column:
+    """Whether the profiles of a and b, of one root, allow the similarity: an upper bound of the shingles that both have."""
+    gone = sum((F.bit_count(F.col(f"a_l{i}").bitwiseOR(F.col(f"b_l{i}"))) for i in range(PROFILE)), F.lit(0))
+    shared = sum((F.bit_count(F.col(f"a_m{i}").bitwiseAND(F.col(f"b_m{i}"))) for i in range(PROFILE)), F.lit(0)) + F.least("a_extra", "b_extra")
+    most = F.least("a_both", "b_both", F.col("a_nr") - gone) + F.least(shared, "a_more", "b_more")
+    k = round(SIMILARITY * 10)
+    return (F.col("a_root") != F.col("b_root")) | (most * (10 + k) >= (F.col("a_n") + F.col("b_n")) * k)
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows has doc_id and key, one a row of docs; nodes has key, class_doc, class_key, one a distinct text with words.
 
@@ -190,9 +239,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = rows.filter("n > 0").groupBy("key").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = common.save(nodes.select("key", F.col("first.doc_id").alias("doc_id"), "n", "bands", F.monotonically_increasing_id().alias("rid")), "dup-nodes")
 
-    places = nodes.select("rid", "n", F.explode("bands").alias("bucket"))
-    centre = places.groupBy("bucket").agg(F.count("*").alias("m"), F.min("rid").alias("c1"), F.min_by("rid", F.xxhash64("rid", F.lit(7))).alias("c2")).filter("m > 1")
-    crowded = common.save(places.join(centre.drop("m"), "bucket"), "dup-crowded")
+    places = nodes.select("rid", F.explode("bands").alias("bucket"))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
+    both = common.save(places.join(shared, "bucket"), "dup-shared")
+    centre = both.groupBy("bucket").agg(F.min("rid").alias("c1"), F.min_by("rid", F.xxhash64("rid", F.lit(7))).alias("c2"))
+    crowded = common.save(both.join(centre, "bucket").join(nodes.select("rid", "n"), "rid"), "dup-crowded")
 
     # the text of each node that shares a bucket, once
     wanted = crowded.select("rid").distinct().join(nodes.select("rid", "key", "doc_id"), "rid")
@@ -214,12 +265,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = common.save(_verify(tried, texts), "dup-star-links")
 
     known = components(links)
+    # the root of a node's component; of a node alone, that of the centre it shares most buckets with
+    near = stars[0].select(F.col("b").alias("rid"), F.col("a").alias("centre")).join(known.select(F.col("rid").alias("centre"), F.col("comp").alias("next")), "centre", "left")
+    rooted = crowded.select("rid").distinct().join(known, "rid", "left").join(near, "rid", "left")
+    rooted = rooted.select("rid", F.coalesce("comp", "next", "centre", "rid").alias("root"))
+    told = common.save(_profiles(rooted, texts), "dup-profiles")
+    links = links.union(told.filter("link AND rid <> root").select(F.least("rid", "root").alias("a"), F.greatest("rid", "root").alias("b")))
+    known = components(links)
+
     labelled = crowded.select("bucket", "rid", "n").join(known, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     labelled = common.save(labelled, "dup-labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = common.save(labelled.join(mixed, "bucket"), "dup-open")
-    one = lambda s: open_.select("bucket", F.col("rid").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"))
-    left = sized(one("a").join(one("b"), "bucket").filter("a < b AND ca <> cb")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    words = [F.col(half)[i].alias(f"{name}{i}") for half, name in (("lacking", "l"), ("besides", "m")) for i in range(PROFILE)]
+    open_ = labelled.join(mixed, "bucket").join(told.select("rid", "root", "nr", "both", "more", "extra", *words), "rid")
+    open_ = common.save(open_, "dup-open")
+    side = lambda s: open_.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in open_.columns if c != "bucket"])
+    a, b = side("a"), side("b").withColumnRenamed("bucket", "bucket_b")
+    k = round(SIMILARITY * 10)
+    fits = (F.col("a_rid") < F.col("b_rid")) & (F.col("a_comp") != F.col("b_comp")) & (F.least("a_n", "b_n") * 10 >= F.greatest("a_n", "b_n") * k) & _may_link()
+    left = a.join(b, (F.col("bucket") == F.col("bucket_b")) & fits).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = common.save(_verify(common.save(left, "dup-left"), texts), "dup-more-links")
     final = components(links.union(more))
 
