@@ -2,7 +2,7 @@
 
 Rows with one text are one node from the start. Nodes that share a band's bucket are candidates. First every node is
 verified against the centres of its buckets only (a star, never all pairs of a group); what that joins
-is one component. Then every node is profiled against the root of the component that it is in or next to: which of the
+is one component. Then every node is profiled against one root of all that buckets connect it with: which of the
 root's shingles it lacks and what it has besides. For two nodes of one root these profiles bound how many
 shingles they share; the join of a bucket's nodes across components makes only the pairs whose bound allows a link.
 """
@@ -264,11 +264,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = common.save(sized(pairs).select("a", "b"), "dup-tried")
     links = common.save(_verify(tried, texts), "dup-star-links")
 
-    known = components(links)
-    # the root of a node's component; of a node alone, that of the centre it shares most buckets with
-    near = stars[0].select(F.col("b").alias("rid"), F.col("a").alias("centre")).join(known.select(F.col("rid").alias("centre"), F.col("comp").alias("next")), "centre", "left")
-    rooted = crowded.select("rid").distinct().join(known, "rid", "left").join(near, "rid", "left")
-    rooted = rooted.select("rid", F.coalesce("comp", "next", "centre", "rid").alias("root"))
+    # one root for all nodes that buckets connect, so that any two of a bucket have profiles against the same text
+    groups = components(crowded.filter("c1 <> rid").select(F.col("c1").alias("a"), F.col("rid").alias("b")).distinct())
+    rooted = crowded.select("rid").distinct().join(groups, "rid", "left").select("rid", F.coalesce("comp", "rid").alias("root"))
     told = common.save(_profiles(rooted, texts), "dup-profiles")
     links = links.union(told.filter("link AND rid <> root").select(F.least("rid", "root").alias("a"), F.greatest("rid", "root").alias("b")))
     known = components(links)
