@@ -136,36 +136,52 @@ def claim_snapshot(spark, sf):
     return coverage.find_policy(asked, _policies(spark, sf)).select("claim_id", "found_by", F.col("p.policy_number").alias("policy_number"), F.col("p.policy_status").alias("policy_status"), F.col("p.idv").alias("idv"))
 
 
-def _clauses(spark, sf):
+def _clauses(spark, sf, every=False):
+    """Parts as clauses; with every, the clauses of the policies of all claims, four a policy."""
     p = b.table(spark, sf, "part")
     k = F.col("p_partkey")
     some = F.array(F.when(k % 5 == 0, "ALL").otherwise("FIRE"), F.when(k % 2 == 0, "THEFT_COMPLETE").otherwise("VANDALISM"))
-    return p.select((k % 500).alias("policy_number"), k.alias("row_pos"), k.cast("string").alias("clause_ref"), F.col("p_name").alias("section_name"), some.alias("applicable_incident_types"), F.when(k % 3 == 0, F.array(F.lit("COMPREHENSIVE"))).otherwise(F.array().cast("array<string>")).alias("coverage_type_filter"), F.when(k % 7 == 0, "NCB_PROTECT").otherwise("").alias("addon_required"),
+    policy = F.shiftright(k, 2) if every else k % 500
+    return p.select(policy.alias("policy_number"), k.alias("row_pos"), k.cast("string").alias("clause_ref"), F.col("p_name").alias("section_name"), some.alias("applicable_incident_types"), F.when(k % 3 == 0, F.array(F.lit("COMPREHENSIVE"))).otherwise(F.array().cast("array<string>")).alias("coverage_type_filter"), F.when(k % 7 == 0, "NCB_PROTECT").otherwise("").alias("addon_required"),
                     (k % 11 != 0).alias("active"), F.when(k % 5 == 0, "SMALL").when(k % 5 == 1, "FIRE|VANDALISM").otherwise("FIRE|THEFT_COMPLETE").alias("excluded_types"), F.when(k % 4 == 0, "ROADSIDE").alias("reinstatement_addon"), (F.col("p_size") % 10).alias("display_order"))
 
 
-def _insured(spark, sf):
+def _insured(spark, sf, every=False):
+    """The claims with a number up to 500, as the SQL has them; with every, all claims, by member to policies of a few clauses each."""
     k = F.col("claim_id")
-    return b.claims(spark, sf).filter(k <= 500).select("claim_id", (k % 500).alias("policy_number"), "incident_type", "policy_status", F.when(k % 2 == 0, "COMPREHENSIVE").otherwise("THIRD_PARTY").alias("coverage_type"), F.when(k % 3 == 0, F.array(F.lit("NCB_PROTECT"))).when(k % 3 == 1, F.array(F.lit("ROADSIDE"))).otherwise(F.array().cast("array<string>")).alias("addons"))
+    c, policy = (b.claims(spark, sf), F.shiftright("member_id", 2)) if every else (b.claims(spark, sf).filter(k <= 500), k % 500)
+    return c.select("claim_id", policy.alias("policy_number"), "incident_type", "policy_status", F.when(k % 2 == 0, "COMPREHENSIVE").otherwise("THIRD_PARTY").alias("coverage_type"), F.when(k % 3 == 0, F.array(F.lit("NCB_PROTECT"))).when(k % 3 == 1, F.array(F.lit("ROADSIDE"))).otherwise(F.array().cast("array<string>")).alias("addons"))
 
 
-def clause_filter(spark, sf):
-    return coverage.applicable_clauses(_insured(spark, sf), _clauses(spark, sf)).select("claim_id", "clause_ref")
+def clause_filter(spark, sf, every=False):
+    return coverage.applicable_clauses(_insured(spark, sf, every), _clauses(spark, sf, every)).select("claim_id", "clause_ref")
 
 
-def exclusion_filter(spark, sf):
-    x = _clauses(spark, sf).select("policy_number", F.col("clause_ref").alias("exclusion_code"), "active", F.col("excluded_types").alias("applicable_incident_types"), "reinstatement_addon", "display_order", "row_pos")
-    return coverage.applicable_exclusions(_insured(spark, sf), x).select("claim_id", "exclusion_code", "display_order", "place")
+def exclusion_filter(spark, sf, every=False):
+    x = _clauses(spark, sf, every).select("policy_number", F.col("clause_ref").alias("exclusion_code"), "active", F.col("excluded_types").alias("applicable_incident_types"), "reinstatement_addon", "display_order", "row_pos")
+    return coverage.applicable_exclusions(_insured(spark, sf, every), x).select("claim_id", "exclusion_code", "display_order", "place")
 
 
-def coverage_rollup(spark, sf):
-    claims, clauses = _insured(spark, sf), _clauses(spark, sf)
+def coverage_rollup(spark, sf, every=False):
+    claims, clauses = _insured(spark, sf, every), _clauses(spark, sf, every)
     fit = coverage.applicable_clauses(claims, clauses)
     k = F.col("row_pos")
     verdicts = fit.filter(k % 13 != 0).select("claim_id", F.when(k % 2 == 0, "COVERED").otherwise("NOT_COVERED").alias("status"), F.when(k % 9 == 0, "LOW").when(k % 9 < 3, "MODERATE").otherwise("HIGH").alias("confidence"))
     return coverage.coverage_rollup(claims, fit, verdicts)
 
 
+def clause_filter_all(spark, sf):
+    return clause_filter(spark, sf, True)
+
+
+def exclusion_filter_all(spark, sf):
+    return exclusion_filter(spark, sf, True)
+
+
+def coverage_rollup_all(spark, sf):
+    return coverage_rollup(spark, sf, True)
+
+
 def _register(spark, sf):
     o = b.table(spark, sf, "orders")
     k = F.col("o_orderkey")
@@ -282,4 +298,7 @@ SQL = {
           CAST(sum(length(CASE kind WHEN 'bullet' THEN trim(regexp_replace(line, '^[•\\-*– ]+', '')) WHEN 'sub' THEN trim(regexp_replace(line, '^[0-9]+[.):] *', '')) ELSE line END)) AS BIGINT) AS chars FROM n GROUP BY 1, 2""",
     "report_sections": _SECTION,
 }
+#: The coverage queries once more, over all claims.
+_INS_ALL = _INS.replace(" WHERE claim_id <= 500", "").replace("claim_id % 500 AS", "member_id // 4 AS").replace("p_partkey % 500 AS", "p_partkey // 4 AS")
+SQL |= {f"{k}_all": SQL[k].replace(_INS, _INS_ALL) for k in ("clause_filter", "exclusion_filter", "coverage_rollup")}
 QUERIES = {k: globals()[k] for k in SQL}
