@@ -165,16 +165,21 @@ def references(measured: DataFrame) -> dict[str, dict[str, list[float]]]:
 def judge(measured: DataFrame) -> DataFrame:
     """measured with class_distance, word_distance, base_failed and kept; it has the struct f of features().
 
-    Distances are null where a text is too short to compare, has no frequent word of any language, or where its language
-    has no reference; a null distance rejects nothing. Null and empty texts fail the base rules.
+    A text without a frequent word of any language is compared with the nearest of all references. Distances are null where
+    a text is too short to compare or where its language, or without one every language, has no reference; a null
+    distance rejects nothing. Null and empty texts fail the base rules.
     """
     f = F.col("f")
     refs = references(measured)
-    by_class = by_word = F.lit(None).cast("double")
-    for lang, kinds in refs.items():
-        is_lang = f["lang_like"] == lang
-        by_class = F.when(is_lang, distance(f["classes"], kinds["classes"])).otherwise(by_class)
-        by_word = F.when(is_lang, distance(f["frequent"], kinds["frequent"])).otherwise(by_word)
+
+    def apart(kind):
+        of = {lang: distance(f[kind], kinds[kind]) for lang, kinds in refs.items()}
+        out = F.array_min(F.array(*of.values())).cast("double")
+        for lang, d in of.items():
+            out = F.when(f["lang_like"] == lang, d).otherwise(out)
+        return F.when(f["lang_like"].isNull() | f["lang_like"].isin(*of), out)
+
+    by_class, by_word = apart("classes"), apart("frequent")
     out = measured.withColumns({
         "class_distance": F.when(f["word_chars"] >= LEAST_CLASS_CHARS, by_class),
         "word_distance": F.when(f["n_words"] >= LEAST_COMMON_WORDS, by_word),
