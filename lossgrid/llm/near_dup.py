@@ -1,4 +1,4 @@
-"""Near-duplicate documents: ProbMinHash of weighted word shingles, banding, exact verification, components.
+"""Near-duplicate documents: ProbMinHash of word shingles of one weight, banding, exact verification, components.
 
 Rows with one text are one node from the start. Nodes that share a band's bucket are candidates. First every node is
 verified against the centres of its buckets only (a star, never all pairs of a group); what that joins
@@ -20,7 +20,7 @@ from .quality_rules import words_of
 
 WORDS = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 shares no band with a probability below (1 - 0.8 ** ROWS) ** BANDS, about 5e-6.
+#: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS, about 5e-6, were registers independent.
 BANDS, ROWS = 40, 6
 #: Registers: the least prime that holds all bands, so that steps through them are permutations.
 REGISTERS = 241
@@ -105,25 +105,25 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, and its bucket in each band. A shingle weighs 1 + log of its count."""
+    """Distinct shingles of each text, and its bucket in each band. All shingles weigh the same, as in the similarity of a link:
+    were repeats to weigh more, texts that differ in them only would not meet."""
     size = np.zeros(len(texts), np.int64)
     bands = np.zeros((len(texts), BANDS), np.int64)
-    part: list[tuple[int, np.ndarray, np.ndarray]] = []
+    part: list[tuple[int, np.ndarray]] = []
 
     def flush():
         if part:
-            element = np.concatenate([e for _, e, _ in part])
-            weight = np.concatenate([w for _, _, w in part])
-            doc = np.repeat(np.arange(len(part)), [len(e) for _, e, _ in part])
-            bands[[i for i, _, _ in part]] = band_hashes(prob_min_hash(element, weight, doc, len(part)))
+            element = np.concatenate([e for _, e in part])
+            doc = np.repeat(np.arange(len(part)), [len(e) for _, e in part])
+            bands[[i for i, _ in part]] = band_hashes(prob_min_hash(element, np.ones(len(element)), doc, len(part)))
             part.clear()
 
     held = 0
     for i, text in enumerate(texts):
-        e, n = np.unique(shingles(text), return_counts=True)
+        e = np.unique(shingles(text))
         size[i] = len(e)
         if len(e):
-            part.append((i, e, 1 + np.log(n)))
+            part.append((i, e))
             held += len(e)
             if held >= CHUNK_SHINGLES or len(part) >= CHUNK_DOCS:
                 flush()

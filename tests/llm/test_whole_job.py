@@ -2,10 +2,10 @@
 
 import random
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
-from lossgrid.llm import quality_rules
+from lossgrid.llm import near_dup, quality_rules
 
 RNG = random.Random(7)
 
@@ -21,3 +21,16 @@ def test_text_without_frequent_words_is_compared(spark):
     assert judged[30].class_distance > quality_rules.MOST_CLASS_DISTANCE and judged[30].word_distance > quality_rules.MOST_WORD_DISTANCE
     assert judged[31].class_distance is None and judged[31].word_distance is None
     assert {i for i, r in judged.items() if r.kept} == {*range(30), 31}
+
+
+def test_repeats_in_one_text_do_not_hide_a_link():
+    pairs = []
+    for k in range(200):
+        words = [f"w{k}x{i}" for i in range(200)]
+        other = words[:180] + [f"y{k}x{i}" for i in range(16)]
+        pairs.append((" ".join(words), " ".join(other + words[20:60] * 100)))
+    _, left = near_dup.signatures([a for a, _ in pairs])
+    _, right = near_dup.signatures([b for _, b in pairs])
+    for a, b in pairs:
+        assert near_dup.linked(np.unique(near_dup.shingles(a)), np.unique(near_dup.shingles(b)))
+    assert (left == right).any(axis=1).all()
