@@ -3,7 +3,7 @@
 Byte-pair merging never crosses the pieces that a tokenizer's pre-tokenizer cuts, so the ids of a
 text are those of its pieces in turn. For texts of common characters only, where the piece pattern means the
 same here and in the library, pieces are cut here and the library's ids of each distinct piece are
-kept; any other text goes to the library whole.
+kept; any other text, and any that holds an added token's content, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -58,12 +58,12 @@ class Encoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.lower = kinds == ["NFC", "Replace", "Lowercase"]
+        self.added = [t["content"].lower() if self.lower else t["content"] for t in spec.get("added_tokens") or []]
         pattern = None
         if not spec["normalizer"] and len(steps) == 1 and steps[0].get("use_regex") and not steps[0]["add_prefix_space"]:
             pattern = BYTE_LEVEL
@@ -85,7 +85,10 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if not self.pieces or not _EVERYDAY.fullmatch(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.pieces(text.lower() if self.lower else text)))
+        seen = text.lower() if self.lower else text
+        if any(a in seen for a in self.added):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, self.pieces(seen)))
 
 
 _made: dict[str, Encoder] = {}

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lossgrid.llm import near_dup, quality_rules
+from lossgrid.llm import near_dup, quality_rules, tokens
 
 RNG = random.Random(7)
 
@@ -34,3 +35,13 @@ def test_repeats_in_one_text_do_not_hide_a_link():
     for a, b in pairs:
         assert near_dup.linked(np.unique(near_dup.shingles(a)), np.unique(near_dup.shingles(b)))
     assert (left == right).any(axis=1).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_in_an_untouched_library(name):
+    from tokenizers import Tokenizer
+
+    path = tokens.path_of(name)
+    library, enc = Tokenizer.from_file(path), tokens.encoder(path)
+    for t in ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> a", "<|endoftext", "日本 <|endoftext|>", "plain text, 'tis", "a  <|endoftext|>\n<|endoftext|>"]:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
