@@ -194,6 +194,13 @@ def register_lookup(spark, sf):
     return register.look_up(reg, ids).select("id", "fnol_id", "member_id")
 
 
+def register_lookup_all(spark, sf):
+    """Every id of the register, and as many that it does not have; those have no row."""
+    reg = _register(spark, sf)
+    ids = reg.select(F.explode(F.array(F.concat(F.lit(" "), F.lower("fnol_id")), F.concat(F.lit("none-"), "fnol_id"))).alias("id"))
+    return register.look_up(reg, ids).select("id", "fnol_id", "member_id")
+
+
 def register_update(spark, sf):
     reg = _register(spark, sf)
     changes = reg.filter("row_pos % 4 = 0").select("fnol_id", F.lit("ESCALATED").alias("triage_status"), F.lit(True).alias("escalation_flag"), F.lit("REPEAT_CLAIMANT").alias("escalation_reason"), F.concat("fnol_id", F.lit(".json")).alias("triage_json_path"), F.lit(None).cast("string").alias("triage_pdf_path"))
@@ -301,4 +308,5 @@ SQL = {
 #: The coverage queries once more, over all claims.
 _INS_ALL = _INS.replace(" WHERE claim_id <= 500", "").replace("claim_id % 500 AS", "member_id // 4 AS").replace("p_partkey % 500 AS", "p_partkey // 4 AS")
 SQL |= {f"{k}_all": SQL[k].replace(_INS, _INS_ALL) for k in ("clause_filter", "exclusion_filter", "coverage_rollup")}
+SQL["register_lookup_all"] = _REG + " SELECT ' ' || lower(fnol_id) AS id, fnol_id, member_id FROM reg"
 QUERIES = {k: globals()[k] for k in SQL}
