@@ -15,13 +15,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the language references are those of this input."""
-    common.on_workers(spark)
+    common.ready(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id."""
-    common.on_workers(spark)
+    common.ready(spark)
     return near_dup.keep_one(docs)
 
 
@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece of a packed document, repeats of the mix included."""
-    common.on_workers(spark)
+    common.ready(spark)
     return packing.pack(docs, tokens.path_of("byte_bpe_50k.json"))
 
 

@@ -39,8 +39,30 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df has them, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bytes of an Arrow batch on its way to a Python worker: texts may be long, so rows alone bound nothing.
+BATCH_BYTES = 8 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """What the operators need of a session: workers that import this package, and batches bounded by bytes."""
     on_workers(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

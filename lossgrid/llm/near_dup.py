@@ -2,9 +2,10 @@
 
 Rows with one text are one node from the start. Nodes that share a band's bucket are candidates. First every node is
 verified against the centres of its buckets only (a star, never all pairs of a group); what that joins
-is one component. Then every node is profiled against one root of all that buckets connect it with: which of the
-root's shingles it lacks and what it has besides. For two nodes of one root these profiles bound how many
-shingles they share; the join of a bucket's nodes across components makes only the pairs whose bound allows a link.
+is one component. Buckets that still hold several components are worked through in tasks of bounded blocks: the shingles
+that any two nodes of a task share are counted exactly, and of the links between components only
+as many as connect them leave the task. Nodes travel as their exact difference from one root of all that buckets
+connect, so a group of near copies is shipped as its edits.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 #: Registers: the least prime that holds all bands, so that steps through them are permutations.
 REGISTERS = 241
-#: 64-bit words of each half of a profile.
-PROFILE = 16
+#: Nodes of a block of a bucket, and shingles of a block, on average: they bound the memory of a task, not the work.
+BLOCK = 256
+BLOCK_SHINGLES = 500_000
+#: Shingles that are counted at a time.
+COLUMNS = 4096
 CHUNK_DOCS = 512
 CHUNK_SHINGLES = 400_000
 KEEP_WORDS = 300_000
@@ -169,25 +173,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _bits(places: np.ndarray) -> list[int]:
-    """A bitmap of places modulo its length, as signed 64-bit words."""
-    on = np.zeros(PROFILE * 64, np.uint8)
-    on[(places % _U(PROFILE * 64)).astype(np.int64)] = 1
-    return np.packbits(on).view(">i8").astype(np.int64).tolist()
-
-
-def profile_of(own: np.ndarray, root: np.ndarray) -> tuple[int, list[int], int, int, list[int]]:
-    """Of a node against its root: shingles of both; bitmap of the root's that it lacks; its shingles beside the root's, how
-    many of these share a bit, and their bitmap."""
-    held = np.isin(root, own, assume_unique=True)
-    more = own[~np.isin(own, root, assume_unique=True)]
-    lacking, besides = _bits(np.flatnonzero(~held).astype(np.uint64)), _bits(more)
-    distinct = sum((w & 0xFFFFFFFFFFFFFFFF).bit_count() for w in besides)
-    return int(held.sum()), lacking, len(more), len(more) - distinct, besides
-
-
-def _profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (rid, root) with their profiles, and whether they are a link."""
+def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (rid, root) with the set sizes of both, how many of the root's shingles rid lacks, the shingles that only one of them
+    has (delta), all of rid's (whole), whether the first are fewer (near), and whether they are a link."""
     pairs = pairs.join(texts, "rid").join(texts.select(F.col("rid").alias("root"), F.col("text").alias("root_text")), "root")
 
     def run(batches):
@@ -198,21 +186,127 @@ def _profiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if c != last:
                     last, root = c, np.unique(shingles(rt))
                 own = np.unique(shingles(t))
-                both, lacking, more, extra, besides = profile_of(own, root)
-                rows.append((r, c, len(root), both, more, extra, lacking, besides, linked(own, root)))
-            yield pd.DataFrame(rows, columns=["rid", "root", "nr", "both", "more", "extra", "lacking", "besides", "link"])
+                delta = np.setxor1d(own, root, assume_unique=True)
+                lacks = (len(delta) + len(root) - len(own)) // 2
+                rows.append((r, c, len(own), len(root), lacks, len(delta), len(delta) < len(own), linked(own, root), delta.tobytes(), own.tobytes()))
+            yield pd.DataFrame(rows, columns=["rid", "root", "n", "nr", "lacks", "d", "near", "link", "delta", "whole"])
 
-    schema = "rid long, root long, nr long, both long, more long, extra long, lacking array<long>, besides array<long>, link boolean"
+    schema = "rid long, root long, n long, nr long, lacks long, d long, near boolean, link boolean, delta binary, whole binary"
     return pairs.select("rid", "root", "text", "root_text").mapInPandas(run, schema)
 
 
-def _may_link() -> F.Column:
-    """Whether the profiles of a and b, of one root, allow the similarity: an upper bound of the shingles that both have."""
-    gone = sum((F.bit_count(F.col(f"a_l{i}").bitwiseOR(F.col(f"b_l{i}"))) for i in range(PROFILE)), F.lit(0))
-    shared = sum((F.bit_count(F.col(f"a_m{i}").bitwiseAND(F.col(f"b_m{i}"))) for i in range(PROFILE)), F.lit(0)) + F.least("a_extra", "b_extra")
-    most = F.least("a_both", "b_both", F.col("a_nr") - gone) + F.least(shared, "a_more", "b_more")
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common; each set's elements are distinct."""
+    n = len(sets)
+    out = np.diag([float(len(x)) for x in sets])
+    if n <= 4:
+        for i in range(n):
+            for j in range(i):
+                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return out
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    twice = often > 1
+    number = np.cumsum(twice) - 1
+    on = twice[column]
+    row, column = row[on], number[column[on]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    np.fill_diagonal(out, 0)
+    for low in range(0, int(twice.sum()), COLUMNS):
+        at, upto = np.searchsorted(column, [low, low + COLUMNS])
+        grid = np.zeros((n, COLUMNS), np.float32)
+        grid[row[at:upto], column[at:upto] - low] = 1
+        out += grid @ grid.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def spanning(comp: np.ndarray, n: np.ndarray, nr: np.ndarray, lacks: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of components that connect all that links between the nodes connect, fewer than there are nodes.
+
+    Of nodes that are told by their difference from one root, nr is the root's size and lacks how much of it each lacks; of
+    nodes told by themselves both are 0.
+    """
+    both = nr[:, None] - lacks[:, None] - lacks[None, :] + shared_counts(sets)
     k = round(SIMILARITY * 10)
-    return (F.col("a_root") != F.col("b_root")) | (most * (10 + k) >= (F.col("a_n") + F.col("b_n")) * k)
+    a, b = np.nonzero(np.triu((both * (10 + k) >= (n[:, None] + n[None, :]) * k) & (comp[:, None] != comp[None, :]), 1))
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    ends = np.unique(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    for x, y in ends.tolist():
+        s, t = top(x), top(y)
+        if s != t:
+            above[max(s, t)] = min(s, t)
+            out.append((x, y))
+    return out
+
+
+def _across(labelled: DataFrame, told: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components that links in a bucket connect. labelled: bucket, rid, comp; told: _differences; met: pairs
+    (a, b) that need no second look.
+
+    Only nodes of different components meet. In each bucket the largest component is one side and all others are the
+    other; both are cut into blocks by hash, and a task is a block of the others with one of any side. So a bucket
+    that has become one component but for a few nodes is read about once, whatever its size.
+    """
+    each = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+    mixed = each.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count("*").alias("kinds"), F.sum("m").alias("m"), F.min("lo").alias("a"), F.max("hi").alias("b")).filter("kinds > 1")
+    known = met.select("a", "b", F.lit(True).alias("known"))
+    mixed = mixed.join(known, ["a", "b"], "left").filter("m > 2 OR known IS NULL").select("bucket", "major")
+    open_ = labelled.join(mixed, "bucket").join(told.select("rid", "n", "d", "near"), "rid")
+    open_ = common.save(open_.select("bucket", "rid", "comp", "n", "d", "near", (F.col("comp") == F.col("major")).alias("in_major")), "dup-open")
+
+    blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    of = lambda c, major: F.sum(F.when(F.col("in_major") == major, F.col(c)).otherwise(0))
+    plan = open_.withColumn("one", F.lit(1)).groupBy("bucket").agg(
+        F.min("near").alias("all_near"), *[of(c, major).alias(f"{c}_{int(major)}") for c in ("one", "n", "d") for major in (False, True)]
+    )
+    weight = lambda side: F.when(F.col("all_near"), F.col(f"d_{side}")).otherwise(F.col(f"n_{side}"))
+    plan = plan.select("bucket", "all_near", blocks(F.col("one_0"), weight(0)).alias("others"), blocks(F.col("one_1"), weight(1)).alias("majors"))
+    at = F.pmod(F.xxhash64("rid", F.lit(5)), F.when(F.col("in_major"), F.col("majors")).otherwise(F.col("others"))).cast("int")
+    part = F.when(F.col("in_major"), F.col("others") + at).otherwise(at)
+    # a block of the others meets every block but itself: its own nodes meet in each of these
+    meets = F.filter(F.sequence(F.lit(0), F.col("others") + F.when(F.col("in_major"), 0).otherwise(F.col("majors")) - 1), lambda x: x != F.col("part"))
+    dealt = open_.join(plan, "bucket").withColumn("part", part).withColumn("meets", F.explode(meets))
+    dealt = dealt.select("bucket", F.least("part", "meets").alias("p"), F.greatest("part", "meets").alias("q"), "rid", "comp", "all_near")
+    near = F.col("all_near")
+    sent = dealt.join(told.select("rid", "n", "nr", "lacks", "delta", "whole"), "rid").select(
+        "bucket", "p", "q", "comp", "n", F.when(near, F.col("nr")).otherwise(0).alias("nr"), F.when(near, F.col("lacks")).otherwise(0).alias("lacks"), F.when(near, F.col("delta")).otherwise(F.col("whole")).alias("own")
+    )
+    key = ["bucket", "p", "q"]
+
+    def run(batches):
+        def done(task):
+            rows = pd.concat(task) if len(task) > 1 else task[0]
+            edges = spanning(*(rows[c].to_numpy(np.int64) for c in ("comp", "n", "nr", "lacks")), [np.frombuffer(x, np.uint64) for x in rows["own"]])
+            return np.array(edges, np.int64).reshape(-1, 2)
+
+        task, last = [], None
+        for pdf in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            keys = pdf[key].to_numpy(np.int64)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if task and tuple(keys[i]) != last:
+                    out.append(done(task))
+                    task = []
+                last = tuple(keys[i])
+                task.append(pdf.iloc[i:j])
+            yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        if task:
+            yield pd.DataFrame(done(task), columns=["a", "b"])
+
+    return sent.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -260,32 +354,23 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         often = crowded.filter(F.col(c) != F.col("rid")).groupBy("rid", "n", c).agg(F.count("*").alias("m"))
         stars.append(often.groupBy(F.col("rid").alias("b"), F.col("n").alias("nb")).agg(F.max_by(c, F.struct("m", -F.col(c))).alias("a")))
     pairs = stars[0].unionByName(stars[1]).join(size, "a")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").distinct()
-    tried = common.save(sized(pairs).select("a", "b"), "dup-tried")
-    links = common.save(_verify(tried, texts), "dup-star-links")
+    met = common.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").distinct(), "dup-met")
+    links = common.save(_verify(sized(met).select("a", "b"), texts), "dup-star-links")
 
-    # one root for all nodes that buckets connect, so that any two of a bucket have profiles against the same text
+    # one root for all nodes that buckets connect, so that any two of a bucket are told against the same text
     groups = components(crowded.filter("c1 <> rid").select(F.col("c1").alias("a"), F.col("rid").alias("b")).distinct())
     rooted = crowded.select("rid").distinct().join(groups, "rid", "left").select("rid", F.coalesce("comp", "rid").alias("root"))
-    told = common.save(_profiles(rooted, texts), "dup-profiles")
+    told = common.save(_differences(rooted, texts), "dup-told")
     links = links.union(told.filter("link AND rid <> root").select(F.least("rid", "root").alias("a"), F.greatest("rid", "root").alias("b")))
     known = components(links)
 
-    labelled = crowded.select("bucket", "rid", "n").join(known, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    labelled = crowded.select("bucket", "rid").join(known, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     labelled = common.save(labelled, "dup-labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    words = [F.col(half)[i].alias(f"{name}{i}") for half, name in (("lacking", "l"), ("besides", "m")) for i in range(PROFILE)]
-    open_ = labelled.join(mixed, "bucket").join(told.select("rid", "root", "nr", "both", "more", "extra", *words), "rid")
-    open_ = common.save(open_, "dup-open")
-    side = lambda s: open_.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in open_.columns if c != "bucket"])
-    a, b = side("a"), side("b").withColumnRenamed("bucket", "bucket_b")
-    k = round(SIMILARITY * 10)
-    fits = (F.col("a_rid") < F.col("b_rid")) & (F.col("a_comp") != F.col("b_comp")) & (F.least("a_n", "b_n") * 10 >= F.greatest("a_n", "b_n") * k) & _may_link()
-    left = a.join(b, (F.col("bucket") == F.col("bucket_b")) & fits).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = common.save(_verify(common.save(left, "dup-left"), texts), "dup-more-links")
-    final = components(links.union(more))
+    over = components(common.save(_across(labelled, told, met.select("a", "b")), "dup-across"))
+    final = nodes.select("rid").join(known, "rid", "left").select("rid", F.coalesce("comp", "rid").alias("part"))
+    final = final.join(over.select(F.col("rid").alias("part"), "comp"), "part", "left").select("rid", F.coalesce("comp", "part").alias("comp"))
 
-    placed = nodes.join(final, "rid", "left").select("rid", "key", "doc_id", F.coalesce("comp", "rid").alias("comp"))
+    placed = nodes.join(final, "rid").select("rid", "key", "doc_id", "comp")
     placed = common.save(placed, "dup-placed")
     heads = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("h"))
     out = placed.join(heads, "comp").select("key", F.col("h.doc_id").alias("class_doc"), F.col("h.key").alias("class_key"))
@@ -309,11 +394,17 @@ def op6_near_dup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, that of the smallest doc_id; rows without words all stay."""
+    """docs with one row of each class, that of the smallest doc_id, with all its columns whatever their names; of rows that
+    repeat that doc_id and text any one. Rows without words (null, empty) all stay; an empty table stays empty."""
     rows, nodes = classes(docs)
-    keyed = docs.withColumn("_key", F.md5(F.col("text")))
-    heads = nodes.select(F.col("class_doc").alias("_doc"), F.col("class_key").alias("_head")).distinct()
-    first = keyed.join(heads, (F.col("_key") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    first = first.dropDuplicates(["_key", "_doc"]).select(*docs.columns)
-    wordless = docs.filter(F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)) == 0)
-    return first.unionByName(wordless)
+    key, head, text = common.fresh(docs, "key", "head", "text_key")
+    tally = rows.filter("n > 0").groupBy("doc_id", "key").agg(F.count("*").alias("m"))
+    heads = nodes.select(F.col("class_doc").alias("h_doc"), F.col("class_key").alias("h_key"), F.lit(True).alias("first")).distinct()
+    tally = tally.join(heads, (F.col("key") == F.col("h_key")) & F.col("doc_id").eqNullSafe(F.col("h_doc")), "left")
+    tally = common.save(tally.select(F.col("doc_id").alias(head), F.col("key").alias(key), "m", F.coalesce("first", F.lit(False)).alias("first")), "dup-heads")
+    keyed = docs.withColumn(text, F.md5(F.col("text")))
+    same = (F.col(text) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(head))
+    # what goes is looked up, so the rows that stay are not dealt anew while that is small enough for Spark to broadcast
+    most = keyed.join(tally.filter("m > 1 OR NOT first").select(head, key), same, "left_anti")
+    repeated = keyed.join(tally.filter("m > 1 AND first").select(head, key), same, "left_semi").dropDuplicates([text, "doc_id"])
+    return most.unionByName(repeated).select(*docs.columns)

@@ -258,16 +258,37 @@ def test_prob_min_hash_estimates():
     assert abs(np.mean(got) - exact) < 0.03
 
 
-def test_profiles_bound():
+def test_differences_count_exactly():
     rng = np.random.default_rng(4)
-    for _ in range(200):
+    for size in (2, 3, 9, 40):
         root = np.unique(rng.integers(0, 2**62, 200).astype(np.uint64))
-        x, y = (np.unique(np.concatenate([rng.choice(root, int(rng.integers(100, len(root))), replace=False), rng.integers(0, 60, int(rng.integers(0, 40))).astype(np.uint64)])) for _ in range(2))
-        px, py = near_dup.profile_of(x, root), near_dup.profile_of(y, root)
-        pop = lambda words: sum((w & 0xFFFFFFFFFFFFFFFF).bit_count() for w in words)
-        gone = pop([p | q for p, q in zip(px[1], py[1])])
-        shared = pop([p & q for p, q in zip(px[4], py[4])]) + min(px[3], py[3])
-        assert len(np.intersect1d(x, y)) <= min(px[0], py[0], len(root) - gone) + min(shared, px[2], py[2])
+        sets = [np.unique(np.concatenate([rng.choice(root, int(rng.integers(100, len(root))), replace=False), rng.integers(0, 60, int(rng.integers(0, 40))).astype(np.uint64)])) for _ in range(size)]
+        want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+        assert np.array_equal(near_dup.shared_counts(sets), want)
+        lacks = np.array([len(np.setdiff1d(root, x)) for x in sets])
+        told = near_dup.shared_counts([np.setxor1d(x, root) for x in sets])
+        assert np.array_equal(len(root) - lacks[:, None] - lacks[None, :] + told, want)
+
+
+def test_spanning_edges_connect_all_links():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        size = int(rng.integers(2, 30))
+        base = rng.integers(0, 2**62, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 2**62, int(rng.integers(0, 9))).astype(np.uint64)])) for _ in range(size)]
+        comp = rng.integers(0, size, size)
+        n, none = np.array([len(x) for x in sets]), np.zeros(size, np.int64)
+        want, got = {(int(min(a, b)), int(max(a, b))) for i, a in enumerate(comp) for j, b in enumerate(comp) if a != b and near_dup.linked(sets[i], sets[j])}, near_dup.spanning(comp, n, none, none, sets)
+        assert set(got) <= want and len(got) < size
+
+        def reach(edges):
+            group = {int(c): int(c) for c in comp}
+            for _ in group:
+                for a, b in edges:
+                    group[a] = group[b] = min(group[a], group[b])
+            return group
+
+        assert reach(got) == reach(want)
 
 
 def test_top_k(spark):
