@@ -213,14 +213,16 @@ def put_file(path: str, blob: bytes) -> None:
 
 
 def tokenise(docs: DataFrame, path: str, end: int = tokens.END) -> DataFrame:
-    """docs (doc_id, text) to doc_id, ids (16-bit little-endian), with end appended; null text is empty."""
+    """docs (doc_id, text) to doc_id, ids (16-bit little-endian), with end appended; null text is empty. Fails on larger ids."""
 
     def run(batches):
         enc = tokens.encoder(path)
         tail = np.array([end], "<u4").tobytes()
         for pdf in batches:
-            ids = [np.frombuffer(enc.encode(t or "") + tail, "<u4").astype("<u2").tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
+            wide = [np.frombuffer(enc.encode(t or "") + tail, "<u4") for t in pdf["text"]]
+            if any(w.max() > 0xFFFF for w in wide):
+                raise ValueError("the vocabulary has ids beyond 16 bits")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [w.astype("<u2").tobytes() for w in wide]})
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return kept.mapInArrow(_arrow(run, "doc_id long, ids binary"), "doc_id long, ids binary")
@@ -331,6 +333,9 @@ def write_corpus(docs: DataFrame, path: str, size: int = 65_536) -> tuple[str, D
 
 
 def op4_rans(spark, sf_dir: str) -> DataFrame:
+    """A row a row of documents, read back from the files: doc_id, start, n_tokens, ids_crc32. Null ids come last, repeated ids stand in
+    the order of a hash of their token ids; null and empty texts have the end id only; other columns take no part; an
+    empty table gives no rows."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     folder, manifest, table = write_corpus(docs, tokens.path_of("word_bpe_49k.json"))
     return read_files(spark, folder, manifest, table).drop("ids")

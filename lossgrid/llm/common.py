@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -17,8 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset on a single machine (tests) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         own = tempfile.mkdtemp(prefix="lossgrid-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -31,10 +34,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lossgrid/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+_passing: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Tables saved inside go at its end, but those saved to stay; nothing that is read later may hang on them."""
+    paths: list[str] = []
+    _passing.append(paths)
+    try:
+        yield
+    finally:
+        _passing.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def save(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _passing and not stays:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
