@@ -18,9 +18,13 @@ SHARD = 2048
 ISLANDS = 2
 POPULATION = 4
 EPOCHS = 3
-GENERATIONS = 5
+GENERATIONS = 8
 #: A bin is well filled from this share of its length.
 WELL = 0.99
+#: Bins that a mutation opens beside the emptiest.
+OPENED = 3
+#: Pairs that a snug bin tries for each place.
+TRIES = 40
 
 
 def lower_bound(sizes: np.ndarray, cap: int) -> int:
@@ -100,14 +104,70 @@ def refill(assign: np.ndarray, loose: np.ndarray, sizes: np.ndarray, cap: int, o
     return out
 
 
-def mutate(a: np.ndarray, sizes: np.ndarray, cap: int, rng) -> np.ndarray:
-    """Open the emptiest bins and a few others."""
+def exchange(assign: np.ndarray, loose: np.ndarray, sizes: np.ndarray, cap: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Fill bins up by exchange with loose items: one or two of a bin's items for one or two loose ones that are longer together and
+    still fit. What comes loose is shorter, so it goes in elsewhere more easily. assign, and the items now loose."""
+    out, at = assign.copy(), sizes.tolist()
+    waiting: dict[int, list[int]] = {}
+    for i in loose.tolist():
+        waiting.setdefault(at[i], []).append(i)
+    mask = sum(1 << s for s in waiting)
+    kept = np.ones(len(assign), bool)
+    kept[loose] = False
+    fill = np.bincount(assign[kept], weights=sizes[kept], minlength=int(assign.max()) + 1).astype(np.int64)
+    open_ = np.flatnonzero((fill < cap) & (fill > 0))
+    inside: dict[int, list[int]] = {b: [] for b in open_.tolist()}
+    for i in np.flatnonzero(kept & np.isin(assign, open_)).tolist():
+        inside[int(assign[i])].append(i)
+
+    def take(size: int) -> int:
+        nonlocal mask
+        items = waiting[size]
+        i = items.pop()
+        if not items:
+            del waiting[size]
+            mask ^= 1 << size
+        return i
+
+    def longest(room: int) -> int:
+        return (mask & ((2 << room) - 1)).bit_length() - 1 if room > 0 else -1
+
+    for b in rng.permutation(open_).tolist():
+        items, gap = inside[b], cap - int(fill[b])
+        outs = [[i] for i in items] + [[i, j] for k, i in enumerate(items[:6]) for j in items[k + 1 : 6]]
+        best: tuple[int, list[int], tuple[int, ...]] | None = None
+        for gone in [[], *outs]:
+            size = sum(at[i] for i in gone)
+            room = size + gap
+            one = longest(room)
+            if one > size and (best is None or one - size > best[0]):
+                best = (one - size, gone, (one,))
+            if best is None or best[0] < gap:
+                for first in list(waiting):
+                    second = longest(room - first)
+                    if second == first and len(waiting[first]) < 2:
+                        continue
+                    if second > 0 and first + second > size and (best is None or first + second - size > best[0]):
+                        best = (first + second - size, gone, (first, second))
+            if best is not None and best[0] == gap:
+                break
+        if best is not None:
+            for s in best[2]:
+                out[take(s)] = b
+            for i in best[1]:
+                waiting.setdefault(at[i], []).append(i)
+                mask |= 1 << at[i]
+    return out, np.array([i for items in waiting.values() for i in items], dtype=np.int64)
+
+
+def mutate(a: np.ndarray, sizes: np.ndarray, cap: int, rng, opened: int = OPENED) -> np.ndarray:
+    """Open the emptiest bin and a few others, fill the rest up by exchange, and put what is loose back best-fit."""
     fill = np.bincount(a, weights=sizes)
-    k = max(2, len(fill) // 20)
-    opened = np.zeros(len(fill), bool)
-    opened[np.argsort(fill)[:k]] = True
-    opened[rng.integers(0, len(fill), k)] = True
-    return refill(a, np.flatnonzero(opened[a]), sizes, cap)
+    gone = np.zeros(len(fill), bool)
+    gone[int(fill.argmin())] = True
+    gone[rng.integers(0, len(fill), opened)] = True
+    out, loose = exchange(a, np.flatnonzero(gone[a]), sizes, cap, rng)
+    return refill(out, loose, sizes, cap)
 
 
 def evolve(pop: list[np.ndarray], sizes: np.ndarray, cap: int, rng, bound: int, generations: int = GENERATIONS) -> list[np.ndarray]:
@@ -134,16 +194,59 @@ def evolve(pop: list[np.ndarray], sizes: np.ndarray, cap: int, rng, bound: int,
     return [x for _, _, x in scored]
 
 
+def snug(sizes: np.ndarray, cap: int, rng, jump: float = 0.0) -> np.ndarray:
+    """A packing bin by bin: the longest item left, then again and again the two that fill it best, of which the longer, and the other
+    if the bin is full then. jump: how often the search starts further down, which makes packings differ."""
+    waiting: dict[int, list[int]] = {}
+    for i, s in enumerate(sizes.tolist()):
+        waiting.setdefault(s, []).append(i)
+    mask = sum(1 << s for s in waiting)
+    out = np.zeros(len(sizes), np.int32)
+    bin_ = 0
+
+    def take(size: int) -> None:
+        nonlocal mask
+        out[waiting[size].pop()] = bin_
+        if not waiting[size]:
+            del waiting[size]
+            mask ^= 1 << size
+
+    def longest(room: int) -> int:
+        return (mask & ((2 << room) - 1)).bit_length() - 1 if room > 0 else -1
+
+    while mask:
+        size = longest(cap)
+        take(size)
+        room = cap - size
+        while (first := longest(room)) > 0:
+            best = (first, first, 0)
+            if jump and rng.random() < jump:
+                first = longest(int(first * rng.uniform(0.5, 1)))
+            for _ in range(TRIES):
+                if first <= 0 or best[0] == room:
+                    break
+                second = longest(room - first)
+                if second == first and len(waiting[first]) < 2:
+                    second = longest(first - 1)
+                best = max(best, (first + max(second, 0), first, max(second, 0)))
+                first = longest(first - 1)
+            take(best[1])
+            if best[2] and best[0] == room:
+                take(best[2])
+                break
+            room -= best[1]
+        bin_ += 1
+    return out
+
+
 def first_population(sizes: np.ndarray, cap: int, rng, bound: int, count: int = POPULATION) -> list[np.ndarray]:
-    """Best-fit decreasing, and best-fit in orders near it."""
-    out = []
-    for k in range(count):
-        noise = rng.uniform(0, 0.15 * k * cap, len(sizes)) if k else 0
-        order = np.argsort(-(sizes + noise), kind="stable")
-        out.append(refill(np.zeros(len(sizes), np.int32), np.arange(len(sizes)), sizes, cap, order))
-        if fitness(out[0], sizes, cap)[0] <= bound:
+    """Best-fit decreasing, and snug packings of other shapes."""
+    out = [refill(np.zeros(len(sizes), np.int32), np.arange(len(sizes)), sizes, cap)]
+    for k in range(count - 1):
+        if min(fitness(x, sizes, cap)[0] for x in out) <= bound:
             break
-    return out
+        out.append(snug(sizes, cap, rng, 0.1 * k))
+    return sorted(out, key=lambda x: fitness(x, sizes, cap))
 
 
 def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = tokens.END) -> DataFrame:
@@ -232,7 +335,7 @@ def assign_bins(items: DataFrame, cap: int = LENGTH, shard: int = SHARD) -> Data
 def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Other columns of docs are left out. Repeated rows are packed as often as they stand there; null
+    Other columns of docs are left out, whatever their names. Repeated rows are packed as often as they stand there; null
     text is empty (its end id only); no documents give no rows. Whole pieces are sequences of their own.
     """
     pieces = common.save(cut_pieces(docs, path, length).withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
@@ -243,5 +346,6 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
 
 def op3_pack(spark, sf_dir: str) -> DataFrame:
+    """pack of the whole table documents; nulls, repeated rows and empty tables as stated there."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, tokens.path_of("byte_bpe_50k.json"))
