@@ -1,9 +1,13 @@
-"""From raw documents to packed sequences: STAGES in order, each over all that the one before it kept."""
+"""From raw documents to packed sequences: STAGES in order, each over all that the one before it kept.
+
+Every stage takes null and empty texts, null ids and sources, repeated rows, empty tables and columns of any name beside
+doc_id, text and source as its operator states; the classifier and the rules reject texts without words, packing keeps none of
+the other columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lossgrid.llm import common, crf, mixing, near_dup, packing, quality_rules, tokens
 
@@ -16,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the language references are those of this input."""
     common.ready(spark)
-    return quality_rules.keep_good(docs)
+    return quality_rules.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, not at all included."""
-    return mixing.emit(mixing.mix(docs, mixing.n_words(F.col("text"))), docs.columns)
+    common.ready(spark)
+    return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

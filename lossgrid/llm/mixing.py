@@ -57,11 +57,12 @@ def mix(docs: DataFrame, size: F.Column, seed: str = SEED, weights: tuple[int, .
     drawn from md5 of seed and doc_id: reruns agree and rows with one doc_id share the draw. Null
     source is a source of its own, the last; null doc_id draws as an empty id; null size counts 0.
     """
+    own, = common.fresh(docs, "s")
     base = docs.withColumn("size", F.coalesce(size.cast("long"), F.lit(0).cast("long"))).drop("source_size", "target", "rate", "copies")
     targets = common.save(source_targets(base.select("source", "size"), weights, most), "mix-targets")
-    t = targets.select(F.col("source").alias("_s"), "source_size", "target", "rate")
+    t = targets.select(F.col("source").alias(own), "source_size", "target", "rate")
     # one row a source; Spark broadcasts it only under its size limit, else AQE splits the hot source
-    out = base.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    out = base.join(t, F.col("source").eqNullSafe(F.col(own))).drop(own)
     draw = common.hash_fraction(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     whole = F.floor("rate")
     return out.withColumn("copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
@@ -73,11 +74,23 @@ def n_words(text: F.Column) -> F.Column:
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as copies says."""
-    out = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    copy, = common.fresh(mixed, "copy")
+    out = mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*columns)
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of docs (doc_id, text, source and any others) as often as the mix takes them, by their number of words, with all their
+    columns, whatever their names. Nulls and repeated rows as in mix(); an empty table stays empty."""
+    place = {name: F.col(f"c{docs.columns.index(name)}").alias(name) for name in ("doc_id", "text", "source")}
+    work = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    mixed = mix(work.select(*work.columns, *place.values()), n_words(F.col("text")), seed, weights, most)
+    return emit(mixed, work.columns).toDF(*docs.columns)
+
+
 def op5_mix(spark, sf_dir: str) -> DataFrame:
+    """A row a row of documents: doc_id, size, source_size, target, taken. Nulls and repeated rows as in mix(); an empty table gives no
+    rows; other columns take no part."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     docs = common.save(docs, "mix-sizes")
     out = mix(docs, F.col("size"))

@@ -32,7 +32,9 @@ BLOCK_SHINGLES = 500_000
 COLUMNS = 4096
 CHUNK_DOCS = 512
 CHUNK_SHINGLES = 400_000
-KEEP_WORDS = 300_000
+#: Words whose hashes a worker keeps, and their length: they bound its memory.
+KEEP_WORDS = 50_000
+KEEP_CHARS = 24
 
 _U = np.uint64
 _MULTIPLY = np.random.default_rng(11).integers(1, 2**63, max(WORDS, ROWS) + 1, dtype=np.uint64) * _U(2) + _U(1)
@@ -41,7 +43,7 @@ _MULTIPLY = np.random.default_rng(11).integers(1, 2**63, max(WORDS, ROWS) + 1, d
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < KEEP_WORDS:
+        if len(self) < KEEP_WORDS and len(word) <= KEEP_CHARS:
             self[word] = h
         return h
 
@@ -314,6 +316,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     class_doc and class_key name the row of the smallest doc_id (null last) of the text's class.
     """
+    with common.passing(docs.sparkSession):
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.col("text")).alias("key"))
 
     def sign(batches):
@@ -327,7 +334,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = sent.select("doc_id", "text", "key").mapInPandas(sign, "doc_id long, key string, n long, bands array<long>")
     none = F.substring_index("key", "|", 1) == "true"
     rows = rows.select(F.when(~none, F.col("doc_id")).alias("doc_id"), F.substring_index("key", "|", -1).alias("key"), "n", "bands")
-    rows = common.save(rows, "dup-rows")
+    rows = common.save(rows, "dup-rows", stays=True)
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     nodes = rows.filter("n > 0").groupBy("key").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -374,7 +381,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = common.save(placed, "dup-placed")
     heads = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("h"))
     out = placed.join(heads, "comp").select("key", F.col("h.doc_id").alias("class_doc"), F.col("h.key").alias("class_key"))
-    return rows.select("doc_id", "key", "n"), common.save(out, "dup-classes")
+    return rows.select("doc_id", "key", "n"), common.save(out, "dup-classes", stays=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -390,6 +397,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op6_near_dup(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates of the whole table documents; ties, repeated rows, nulls and empty tables as stated there."""
     return near_duplicates(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

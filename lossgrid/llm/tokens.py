@@ -18,8 +18,10 @@ from array import array
 #: Fixed value: the piece pattern of byte-level tokenizers that name none of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 2
-#: Pieces that a worker keeps: the first that it meets, so the frequent ones are among them.
-KEEP = 500_000
+#: Bytes of the pieces and ids that a worker keeps: of the first that it meets, so the frequent ones are among them. An entry counts
+#: what its objects take beside their content too.
+KEEP_BYTES = 24 << 20
+ENTRY_BYTES = 240
 #: White space and assigned characters up to U+024F whose class, case and normal form no library version disputes.
 _EVERYDAY = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*")
 
@@ -71,11 +73,14 @@ class Encoder(dict):
             pattern = steps[0]["pattern"]["Regex"]
         self.merge = self.library.model.tokenize
         self.pieces = pattern and _here(pattern).findall
+        self.room = KEEP_BYTES
 
     def __missing__(self, piece: str) -> bytes:
         merged = self.merge(piece.encode().decode("latin-1").translate(_BYTE_CHARS))
         ids = array("I", [t.id for t in merged]).tobytes()
-        if len(self) < KEEP:
+        size = ENTRY_BYTES + 4 * len(piece) + len(ids)
+        if size <= self.room:
+            self.room -= size
             self[piece] = ids
         return ids
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -34,8 +35,9 @@ RIDGE = 2e-3
 STEPS = 250
 #: Lengths of the word beginnings.
 STARTS = (4, 5, 6, 7)
-#: Words whose features a worker keeps.
-KEEP = 400_000
+#: Words whose features a worker keeps, and their length: they bound its memory.
+KEEP = 100_000
+KEEP_CHARS = 24
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SWAP = {a: b for a, b in IDENTITY} | {b: a for a, b in IDENTITY}
@@ -62,7 +64,7 @@ class Model:
         place = {int(f): i for i, f in enumerate(self.ids)}
         known: dict[str, tuple] = {}
         weights = self.weights.tolist()
-        log = [0.0, *np.log2(1 + np.arange(1, 4096)).tolist()]
+        log = np.log2(1 + np.arange(4096)).tolist()
 
         def one(text: str | None) -> float:
             words = words_of(text)
@@ -71,13 +73,13 @@ class Model:
                 hit = known.get(w)
                 if hit is None:
                     hit = tuple(place[f] for f in features_of(w) if f in place)
-                    if len(known) < KEEP:
+                    if len(known) < KEEP and len(w) <= KEEP_CHARS:
                         known[w] = hit
                 if hit:
                     count.update(hit)
             z = weights[-1] + weights[-2] * np.log1p(len(words))
             for i, n in count.items():
-                z += weights[i] * log[min(n, 4095)]
+                z += weights[i] * (log[n] if n < len(log) else math.log2(1 + n))
             return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
         return one
@@ -189,6 +191,9 @@ def scorer(model: Model | None):
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A row a row of documents: doc_id, held_out, score, predicted. A null doc_id is not held out; null and empty texts are texts without
+    words; repeated rows score alike; a score of just 0.5 is predicted 1; other columns take no part, whatever their
+    names; without labels of both kinds all scores are 0; an empty table gives no rows."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     score = scorer(train(docs, common.read(spark, sf_dir, "labels")))
     out = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score(F.col("text")).alias("score"))
