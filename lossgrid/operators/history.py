@@ -19,22 +19,22 @@ def prior_claims(claims: DataFrame, history: DataFrame, key: str, months: int) -
     return c.join(h, (F.col(f"c.{key}") == F.col(f"h.{key}")) & (F.col("h.claim_date") < F.col("c.incident_date")) & (F.col("h.claim_date") >= F.add_months("c.incident_date", -months)))
 
 
-def vehicle_history(claims: DataFrame, history: DataFrame) -> DataFrame:
-    """One row a claim: counts and flags of its vehicle's claims in 36 months. An unknown incident date gives
-    history_available false and nulls."""
+def vehicle_history(claims: DataFrame, history: DataFrame, listed: bool = True) -> DataFrame:
+    """One row a claim: counts and flags of its vehicle's claims in 36 months, and their list if asked for. An unknown incident
+    date gives history_available false and nulls."""
     found = prior_claims(claims.select("claim_id", "vehicle_reg", "incident_date"), history, "vehicle_reg", 36)
     entry = F.struct(F.col("h.row_pos").alias("row_pos"), F.col("h.prior_id").alias("claim_id"), F.col("h.claim_date").alias("claim_date"), F.col("h.prior_type").alias("incident_type"), F.col("h.ncb_impact").alias("ncb_impact"))
     per = found.groupBy(F.col("c.claim_id").alias("claim_id")).agg(
         F.count("*").alias("n"), F.max("h.claim_date").alias("last_claim_date"), F.count_if("h.ncb_impact").alias("impact"),
         F.min_by("h.prior_id", "h.row_pos").alias("first_prior_id"), F.max_by("h.prior_id", F.struct("h.claim_date", "h.row_pos")).alias("latest_prior_id"),
-        F.sort_array(F.collect_list(entry)).alias("prior_claims_36m"),
+        *([F.sort_array(F.collect_list(entry)).alias("prior_claims_36m")] if listed else []),
     )
     known = F.col("incident_date").isNotNull()
     days = F.datediff("incident_date", "last_claim_date")
     return claims.join(per, "claim_id", "left").select(
         *claims.columns, known.alias("history_available"), F.when(known, F.coalesce("n", F.lit(0))).alias("prior_claims_36m_count"), "last_claim_date", days.alias("days_since_last_claim"),
         F.when(known, F.coalesce(days <= BACK_TO_BACK_DAYS, F.lit(False))).alias("back_to_back_flag"), F.coalesce("impact", F.lit(0)).alias("ncb_impact_claims"),
-        "first_prior_id", "latest_prior_id", "prior_claims_36m",
+        "first_prior_id", "latest_prior_id", *(["prior_claims_36m"] if listed else []),
     )
 
 
@@ -47,8 +47,8 @@ def member_history(claims: DataFrame, history: DataFrame) -> DataFrame:
     return claims.join(per, "claim_id", "left").select(*claims.columns, n.alias("prior_claims_12m_count"), (n >= REPEAT_CLAIMS).alias("repeat_claimant_flag"))
 
 
-def full_history(claims: DataFrame, history: DataFrame) -> DataFrame:
-    return member_history(vehicle_history(claims, history), history).withColumn("ncb_discrepancy", ncb_note())
+def full_history(claims: DataFrame, history: DataFrame, listed: bool = True) -> DataFrame:
+    return member_history(vehicle_history(claims, history, listed), history).withColumn("ncb_discrepancy", ncb_note())
 
 
 def ncb_note() -> F.Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Columns of the register.
 COLUMNS = ("fnol_id", "member_id", "policy_number", "vehicle_reg", "incident_date", "incident_type", "fnol_received_at", "fnol_age_hours", "aging_risk", "adjuster_id", "triage_status", "escalation_flag", "escalation_reason", "triage_json_path", "triage_pdf_path", "doc_links", "registered_at")
 DEFAULTS = {"fnol_age_hours": 0.0, "aging_risk": "LOW", "triage_status": "PENDING", "escalation_flag": False}
+KINDS = {"fnol_age_hours": "double", "escalation_flag": "boolean"}
 PREFIX = "FNOL"
 
 
@@ -34,30 +35,55 @@ def next_number(register: DataFrame, year: int) -> DataFrame:
 
 
 def new_rows(claims: DataFrame, registered_at: dt.datetime) -> DataFrame:
-    """claims as register rows: columns that they lack get their defaults or null."""
+    """claims as register rows: columns that they lack get their defaults or null, all of them the register's types."""
     have = set(claims.columns)
-    cols = [F.col(c) if c in have else F.lit(registered_at.isoformat()).alias(c) if c == "registered_at" else F.lit(DEFAULTS.get(c)).alias(c) for c in COLUMNS]
-    return claims.select(*cols)
+    value = lambda c: F.col(c) if c in have else F.lit(registered_at.isoformat()) if c == "registered_at" else F.lit(DEFAULTS.get(c))
+    return claims.select(*[value(c).cast(KINDS.get(c, "string")).alias(c) for c in COLUMNS])
+
+
+def append(register: DataFrame, claims: DataFrame, registered_at: dt.datetime) -> DataFrame:
+    """register with a new row for each of claims behind its last, in the order of their fnol_id; its own columns and types only."""
+    last = register.agg(F.coalesce(F.max("row_pos"), F.lit(-1)).alias("_last"))
+    added = new_rows(claims, registered_at).orderBy("fnol_id").withColumn("_nth", F.monotonically_increasing_id())
+    added = added.crossJoin(F.broadcast(last)).withColumn("row_pos", F.col("_last") + 1 + F.col("_nth"))  # one row
+    kinds = {f.name: f.dataType for f in register.schema.fields}
+    return register.unionByName(added.select(*[(F.col(c) if c in added.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]))
 
 
 UPDATED = ("triage_status", "escalation_flag", "escalation_reason", "triage_json_path", "triage_pdf_path")
 
 
 def update(register: DataFrame, changes: DataFrame) -> DataFrame:
-    """register with changes (fnol_id and UPDATED) put into the first row of each id, by its exact trimmed text."""
+    """register with changes (fnol_id and UPDATED) put into the first row of each id, by its exact trimmed text. Changes that
+    repeat an id count as one, the greatest by UPDATED; ids that the register lacks change nothing, see update_all."""
     key = F.trim(F.col("fnol_id").cast("string"))
-    c = changes.select(key.alias("_k"), *[F.col(u).alias(f"_{u}") for u in UPDATED])
+    c = changes.groupBy(key.alias("_k")).agg(F.max(F.struct(*UPDATED)).alias("_c")).select("_k", *[F.col(f"_c.{u}").alias(f"_{u}") for u in UPDATED])
     first = F.row_number().over(Window.partitionBy(key).orderBy("row_pos")) == 1
     j = register.withColumn("_first", first).join(c, (key == F.col("_k")) & F.col("_first"), "left")
     own = {u: F.when(F.col("_k").isNotNull(), F.col(f"_{u}")).otherwise(F.col(u)) for u in UPDATED}
     return j.select(*[own.get(x, F.col(x)).alias(x) for x in register.columns])
 
 
+def update_all(register: DataFrame, changes: DataFrame) -> DataFrame:
+    """update, but changes to an id that the register lacks are an error."""
+    lost = unmatched(register, changes).limit(5).collect()
+    if lost:
+        raise LookupError(f"not in the register: {', '.join(str(r['fnol_id']) for r in lost)}")
+    return update(register, changes)
+
+
 def unmatched(register: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes whose id the register does not have."""
     return changes.join(register.select("fnol_id"), F.trim(changes["fnol_id"].cast("string")) == F.trim(register["fnol_id"].cast("string")), "left_anti")
 
 
+def of_member(records: DataFrame, member: str | None) -> DataFrame:
+    """Records that a member may read: those whose own, known member it is, trimmed and in any case. Nobody reads a record without one."""
+    asked = (member or "").strip().upper()
+    own = F.upper(F.trim(F.col("member_id").cast("string")))
+    return records.filter((own == asked) & F.lit(asked != ""))
+
+
 def visible_to(records: DataFrame, member: str) -> DataFrame:
-    """Records of this member, or without one."""
+    """Candidates of a member match, where a blank member matches too; no permission to read: that is of_member."""
     return records.filter(F.coalesce(F.trim(F.col("member_id").cast("string")), F.lit("")).isin("", member))

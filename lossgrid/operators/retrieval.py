@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_WORDS, OVERLAP = 400, 50
+#: Questions that are sent to every task at most.
+BROADCAST_QUESTIONS = 2000
 NO_CONTEXT = "No relevant content found in the guidelines."
 
 
@@ -38,6 +40,22 @@ def chunk_id(source: Column, index: Column, text: Column) -> Column:
     return F.format_string("%s-chunk-%03d-%s", source, index.cast("long"), F.substring(F.md5(F.concat(source, F.lit(":"), text)), 1, 12))
 
 
+def mean_words(chunks: DataFrame) -> DataFrame:
+    """Chunks and mean words a chunk of each source, to one decimal."""
+    return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.round(F.avg("word_count"), 1).alias("mean_words"))
+
+
+def messages(questions: DataFrame, contexts: DataFrame, turns: DataFrame, system: str, keep: int = 6) -> DataFrame:
+    """The messages of each question in order: question_id, pos, role, content; the system text with the context, the last
+    turns of its conversation (conv_id), the question itself."""
+    first = questions.join(contexts, "question_id", "left").select("question_id", F.lit(-1).cast("long").alias("at"), F.lit("system").alias("role"), F.concat(F.lit(system), F.lit("\n\n"), F.coalesce("context", F.lit(NO_CONTEXT))).alias("content"))
+    past = questions.select("question_id", "conv_id").join(last_turns(turns, keep), "conv_id").select("question_id", F.col("turn").cast("long").alias("at"), "role", F.col("text").alias("content"))
+    last = questions.select("question_id", F.lit(2**62).alias("at"), F.lit("user").alias("role"), F.col("question").alias("content"))
+    rows = first.unionByName(past).unionByName(last)
+    pos = F.row_number().over(Window.partitionBy("question_id").orderBy("at")) - 1
+    return rows.select("question_id", pos.alias("pos"), "role", "content")
+
+
 def upsert(index: DataFrame, new: DataFrame) -> DataFrame:
     """index (namespace, chunk_id, ..) with the rows of new put in or over; of new's repeats one stays."""
     key = ["namespace", "chunk_id"]
@@ -53,18 +71,28 @@ def wrong_dimension(index: DataFrame, dim: int) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors; 0 where one is zero, null or of another length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x.cast("array<double>"), y.cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
     """questions (question_id, vector) and index (namespace, chunk_id, embedding, ..): of each namespace the k nearest by cosine,
     together the 2 * k best, ties by namespace and chunk_id.
 
-    The questions of one call are few and go to every task; the index stays where it is and each task
-    keeps k of a question and namespace before anything moves.
+    Up to BROADCAST_QUESTIONS go to every task, and the index stays where it is; more are asked in blocks of so many, each block
+    meeting every block of the index. Each task keeps k of a question and namespace before anything moves.
     """
-    pairs = index.crossJoin(F.broadcast(questions)).withColumn("raw", cosine(F.col("vector"), F.col("embedding"))).drop("vector", "embedding")
+    n = questions.count()
+    if n <= BROADCAST_QUESTIONS:
+        met = index.crossJoin(F.broadcast(questions))
+    else:
+        asks, parts = -(-n // BROADCAST_QUESTIONS), max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = index.withColumn("_part", F.pmod(F.xxhash64("namespace", "chunk_id"), F.lit(parts)).cast("int")).withColumn("_ask", each(asks))
+        right = questions.withColumn("_ask", F.pmod(F.xxhash64("question_id"), F.lit(asks)).cast("int")).withColumn("_part", each(parts))
+        met = left.join(right, ["_ask", "_part"]).drop("_ask", "_part")
+    pairs = met.withColumn("raw", cosine(F.col("vector"), F.col("embedding"))).drop("vector", "embedding")
     best = F.row_number().over(Window.partitionBy("question_id", "namespace").orderBy(F.desc("raw"), "chunk_id"))
     near = pairs.withColumn("r", best).filter(F.col("r") <= k).withColumn("score", F.round("raw", 4))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "namespace", "r"))

@@ -305,8 +305,10 @@ SQL = {
           CAST(sum(length(CASE kind WHEN 'bullet' THEN trim(regexp_replace(line, '^[•\\-*– ]+', '')) WHEN 'sub' THEN trim(regexp_replace(line, '^[0-9]+[.):] *', '')) ELSE line END)) AS BIGINT) AS chars FROM n GROUP BY 1, 2""",
     "report_sections": _SECTION,
 }
-#: The coverage queries once more, over all claims.
+#: The coverage queries and the lookup once more, over all claims and the whole register; these stand for the ones that keep a part.
 _INS_ALL = _INS.replace(" WHERE claim_id <= 500", "").replace("claim_id % 500 AS", "member_id // 4 AS").replace("p_partkey % 500 AS", "p_partkey // 4 AS")
 SQL |= {f"{k}_all": SQL[k].replace(_INS, _INS_ALL) for k in ("clause_filter", "exclusion_filter", "coverage_rollup")}
 SQL["register_lookup_all"] = _REG + " SELECT ' ' || lower(fnol_id) AS id, fnol_id, member_id FROM reg"
+for _part in ("clause_filter", "exclusion_filter", "coverage_rollup", "register_lookup"):
+    del SQL[_part]
 QUERIES = {k: globals()[k] for k in SQL}
