@@ -20,7 +20,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 END = 2
 #: Bytes of the pieces and ids that a worker keeps: of the first that it meets, so the frequent ones are among them. An entry counts
 #: what its objects take beside their content too.
-KEEP_BYTES = 72 << 20
+KEEP_BYTES = 112 << 20
 ENTRY_BYTES = 240
 #: White space and assigned characters up to U+024F whose class, case and normal form no library version disputes.
 _EVERYDAY = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*")
