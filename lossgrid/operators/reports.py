@@ -45,5 +45,38 @@ def sections(assessed: DataFrame) -> DataFrame:
     return assessed.select("claim_id", F.explode(F.array(*pairs)).alias("p")).select("claim_id", "p.*")
 
 
+def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
+    """snapshots (of case.snapshot, with fnol_age_hours and aging_risk_level of triage.aging) as the 18 label and value pairs of the
+    snapshot section: claim_id, pos, label, value; left and right column in turn. A missing value is empty, or as its pair says."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    known = lambda c, none: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(none))
+    minute = lambda c: F.substring(text(c), 1, 16)
+    hours = F.bround(F.coalesce("fnol_age_hours", F.lit(0.0)), 0).cast("long").cast("string")
+    amount = F.regexp_replace(F.format_number(F.coalesce(F.col("idv_inr").cast("double"), F.lit(0.0)), 2), r"\.00$", "")
+    #: The labels and the words around values.
+    pairs = [
+        ("FNOL ID", text("claim_id")),
+        ("Aging Risk", F.concat(text("aging_risk_level"), F.lit(" ("), hours, F.lit(" hours)"))),
+        ("Member ID", text("member_id")),
+        ("Policy Number", text("policy_number")),
+        ("Vehicle", text("vehicle")),
+        ("Insurer", text("insurer")),
+        ("Incident Type", F.initcap(F.replace(F.lower(text("incident_type")), F.lit("_"), F.lit(" ")))),
+        ("Incident Date", minute("incident_date")),
+        ("Incident Location", text("incident_location")),
+        ("FNOL Received", minute("fnol_received_at")),
+        ("Coverage Type", text("coverage_type")),
+        ("IDV", F.concat(F.lit("Rs."), amount)),
+        ("NCB at Inception", F.concat(known("ncb_percent", "0"), F.lit("%"))),
+        ("Add-ons", F.when(F.size("addons") > 0, F.array_join("addons", " | ")).otherwise("None")),
+        ("Hypothecated", F.when(F.col("hypothecated"), "Yes").otherwise("No")),
+        ("Financer", known("financer_name", "None")),
+        ("Policy Status", text("policy_status")),
+        ("Policy Expiry", text("policy_expiry")),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(pairs)])
+    return snapshots.select("claim_id", F.explode(rows).alias("p")).select("claim_id", "p.*")
+
+
 def pending_documents(checklist: DataFrame) -> DataFrame:
     return checklist.filter("NOT received")

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import case, coverage, register, retrieval, triage
+from ..operators import case, coverage, register, reports, retrieval, triage
 from ..sources import bindings as b
 from . import intake_queries, text_queries, triage_queries
 
@@ -32,6 +32,12 @@ def snapshot_full(spark, sf):
     return out.withColumn("addons", F.array_join("addons", "|"))
 
 
+def snapshot_section(spark, sf):
+    """The 18 pairs of each claim's snapshot."""
+    snap = case.snapshot(_found(spark, sf))
+    return reports.snapshot_pairs(triage.aging(snap, F.col("fnol_received_at").cast("timestamp"), F.lit(AS_OF).cast("timestamp")))
+
+
 def _fit(spark, sf):
     return coverage.applicable_clauses(intake_queries._insured(spark, sf, True), intake_queries._clauses(spark, sf, True))
 
@@ -143,4 +149,26 @@ SQL = {
         d AS (SELECT run_id, idx, round(coalesce(lead(mark) OVER w, fin) - mark, 3) AS dur, round(mark - first_value(mark) OVER w, 3) AS off FROM e WINDOW w AS (PARTITION BY run_id ORDER BY idx))
         SELECT run_id, round(arg_max(off + dur, idx), 3) AS total_duration_s, CAST(count(*) AS INTEGER) AS steps FROM d GROUP BY run_id""",
 }
+SQL["snapshot_section"] = b.SQL + f""", snap AS ({SQL["snapshot_full"][len(b.SQL):]}),
+  aged AS (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(CAST(fnol_received_at AS TIMESTAMP))) / 3600000000.0 AS h FROM snap),
+  said AS (SELECT claim_id, unnest([
+    {{'pos': 0, 'label': 'FNOL ID', 'value': CAST(claim_id AS VARCHAR)}},
+    {{'pos': 1, 'label': 'Aging Risk', 'value': CASE WHEN h < 6 THEN 'LOW' WHEN h < 18 THEN 'MEDIUM' WHEN h < 24 THEN 'HIGH' ELSE 'CRITICAL' END || ' (' || CAST(round_even(h, 0) AS BIGINT) || ' hours)'}},
+    {{'pos': 2, 'label': 'Member ID', 'value': member_id}},
+    {{'pos': 3, 'label': 'Policy Number', 'value': CAST(policy_number AS VARCHAR)}},
+    {{'pos': 4, 'label': 'Vehicle', 'value': vehicle}},
+    {{'pos': 5, 'label': 'Insurer', 'value': insurer}},
+    {{'pos': 6, 'label': 'Incident Type', 'value': array_to_string(list_transform(string_split(lower(incident_type), '_'), lambda x: upper(x[1]) || x[2:]), ' ')}},
+    {{'pos': 7, 'label': 'Incident Date', 'value': CAST(CAST(incident_date AS DATE) AS VARCHAR)}},
+    {{'pos': 8, 'label': 'Incident Location', 'value': incident_location}},
+    {{'pos': 9, 'label': 'FNOL Received', 'value': CAST(CAST(fnol_received_at AS DATE) AS VARCHAR)}},
+    {{'pos': 10, 'label': 'Coverage Type', 'value': coverage_type}},
+    {{'pos': 11, 'label': 'IDV', 'value': 'Rs.' || regexp_replace(format('{{:,.2f}}', CAST(idv_inr AS DOUBLE)), '\\.00$', '')}},
+    {{'pos': 12, 'label': 'NCB at Inception', 'value': CAST(ncb_percent AS VARCHAR) || '%'}},
+    {{'pos': 13, 'label': 'Add-ons', 'value': CASE WHEN addons = '' THEN 'None' ELSE replace(addons, '|', ' | ') END}},
+    {{'pos': 14, 'label': 'Hypothecated', 'value': CASE WHEN hypothecated THEN 'Yes' ELSE 'No' END}},
+    {{'pos': 15, 'label': 'Financer', 'value': coalesce(financer_name, 'None')}},
+    {{'pos': 16, 'label': 'Policy Status', 'value': policy_status}},
+    {{'pos': 17, 'label': 'Policy Expiry', 'value': CAST(CAST(policy_expiry AS DATE) AS VARCHAR)}}]) AS p FROM aged)
+  SELECT claim_id, p.pos AS pos, p.label AS label, p.value AS value FROM said"""
 QUERIES = {k: globals()[k] for k in SQL}
