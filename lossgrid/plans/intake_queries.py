@@ -79,6 +79,25 @@ def dl_validity(spark, sf):
     return intake.consistency(_pairs(spark, sf)).filter("field = 'driving_licence_validity'").select("claim_id", "status", "detail")
 
 
+def _all_pairs(spark, sf):
+    """Customers as documents that carry the fields of all comparisons; they agree, differ or lack by the customer's number."""
+    c = b.table(spark, sf, "customer")
+    k, name, seg = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    has = lambda *kv: F.map_from_arrays(F.array(*[F.lit(a) for a, _ in kv]), F.array(*[(F.lit(v) if isinstance(v, str) else v) for _, v in kv]))
+    form = has(("vehicle_registration_number", name), ("vehicle_make", seg), ("vehicle_model", F.concat(seg, F.lit(" one"))), ("fir_number", name), ("incident_date_time", "05-03-2024 10:00"), ("police_station", "North Gate"), ("policy_number", name), ("third_party_vehicle_reg", F.when(k % 4 != 0, name)), ("adjuster_id", seg))
+    rc = has(("registration_number", F.when(k % 6 != 1, F.lower(name)).otherwise("other")), ("make", F.when(k % 4 == 0, F.concat(seg, F.lit(" ltd (new)"))).when(k % 4 == 1, "other").otherwise(F.lower(seg))), ("model", F.when(k % 3 == 0, F.concat(seg, F.lit("ONE x"))).when(k % 3 == 1, "two")), ("insurance_policy_number", F.when(k % 5 == 1, "P-1").when(k % 5 > 1, name)))
+    fir = has(("complainant_vehicle_reg", F.when(k % 7 != 0, name)), ("fir_number", F.when(k % 3 == 0, F.lower(name)).when(k % 3 == 1, "FIR-1")), ("date_of_incident", F.when(k % 2 == 0, "05-03-2024T09:30").otherwise("06-03-2024")), ("police_station", F.when(k % 4 == 0, " north gate").when(k % 4 == 1, "South").otherwise("NORTHGATE")), ("third_party_vehicle_reg", F.when(k % 3 == 0, F.concat(name, F.lit(" (A)"))).when(k % 3 == 1, "other")))
+    photo = has(("vehicle_reg", F.when(k % 10 == 0, "other").otherwise(name)), ("adjuster_id", F.when(k % 6 == 0, "").when(k % 6 == 1, "X").otherwise(seg)))
+    dl = has(("dl_valid_on_incident_date", F.when(k % 5 == 0, "Yes, valid").otherwise("no")), ("licence_status", F.when(k % 6 == 0, "INACTIVE").otherwise("expired")))
+    docs = F.array(*[F.struct(F.lit(i).alias("page"), F.lit(t).alias("doc_type"), f.alias("fields")) for i, (t, f) in enumerate([(intake.FORM, form), (intake.FIR, fir), (intake.RC, rc), (intake.DL, dl), (intake.PHOTO, photo)], 1)])
+    return c.select(k.alias("claim_id"), F.explode(docs).alias("d")).select("claim_id", "d.*")
+
+
+def consistency_all(spark, sf):
+    """Every comparison of every claim."""
+    return intake.consistency(_all_pairs(spark, sf)).select("claim_id", "field", "status", "detail", F.array_join("sources_checked", "|").alias("sources"))
+
+
 def _turns(spark, sf):
     t = b.table(spark, sf, "conversations")
     return t.groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text")).select(F.col("conv_id").alias("claim_id"), F.col("turn").alias("page"), F.col("role").alias("doc_type"), F.create_map(F.lit("text"), F.col("text")).alias("fields"))
@@ -234,6 +253,11 @@ def report_sections(spark, sf):
     return reports.sections(triage_queries.assessed(spark, sf)).filter(F.col("section").isin("waiting period", "indicators", "escalation")).select("claim_id", "section", "pos", "label", "value")
 
 
+def report_sections_all(spark, sf):
+    """All sections of pairs, the snapshot and the history among them."""
+    return reports.sections(triage_queries.assessed(spark, sf)).select("claim_id", "section", "pos", "label", "value")
+
+
 _NEED = "(VALUES " + ", ".join(f"('{k.replace('_', '')}', '{c}', '{d}', '{t}', '{by}')" for k, c, d, t, _, by, _ in matrix.rows()) + ") AS m(kind, criticality, document, doc_type, collection_by)"
 _GAP = b.SQL + f""", g AS (
   SELECT c.claim_id, m.*, CASE doc_type WHEN 'FIR' THEN claim_id % 2 = 0 WHEN 'REGISTRATION_CERTIFICATE' THEN claim_id % 3 <> 0 WHEN 'DRIVING_LICENCE' THEN claim_id % 5 <> 0 WHEN 'VEHICLE_DAMAGE_PHOTO_LOG' THEN claim_id % 7 <> 0 ELSE false END AS received
@@ -311,4 +335,39 @@ SQL |= {f"{k}_all": SQL[k].replace(_INS, _INS_ALL) for k in ("clause_filter", "e
 SQL["register_lookup_all"] = _REG + " SELECT ' ' || lower(fnol_id) AS id, fnol_id, member_id FROM reg"
 for _part in ("clause_filter", "exclusion_filter", "coverage_rollup", "register_lookup"):
     del SQL[_part]
+SQL["report_sections_all"] = _SECTION + "".join(
+    f" UNION ALL SELECT claim_id, '{s}', {i}, '{label}', coalesce(CAST({sql} AS VARCHAR), '—') FROM shown"
+    for s, pairs in {
+        "snapshot": [("Member ID", "member_id"), ("Policy Number", "policy_number"), ("Vehicle Registration", "vehicle_reg"), ("Incident Type", "incident_type"), ("Incident Date", "incident_date"), ("Policy Status", "policy_status"), ("Policy Inception", "policy_inception"), ("Policy Expiry", "policy_expiry")],
+        "history": [("Claims in 36 months", "n"), ("Last Claim", "last_claim_date"), ("Days Since Last Claim", "days_last"), ("Back to Back", "s1"), ("Claims in 12 months", "m"), ("Repeat Claimant", "s2")],
+    }.items()
+    for i, (label, sql) in enumerate(pairs)
+)
+
+
+def _compared(field: str, sources: dict[str, str], loose: bool = False, both: bool = False) -> str:
+    """One comparison in SQL: the values there are, equal or (loose) one part of the other when bare."""
+    found = "list_filter([" + ", ".join(f"{{'l': '{label}', 'v': {sql}}}" for label, sql in sources.items()) + "], lambda x: x.v IS NOT NULL AND x.v <> '')"
+    bare = "replace(upper(trim(regexp_replace(x.v, '\\([^)]*\\)', '', 'g'))), ' ', '')" if loose else "replace(upper(trim(x.v)), ' ', '')"
+    same = "(contains(b[1], b[2]) OR contains(b[2], b[1]))" if loose else "len(list_distinct(b)) = 1"
+    names = "|".join(sources)
+    return f"""SELECT k AS claim_id, '{field}' AS field, CASE WHEN len(f) < 2 THEN 'SKIPPED' WHEN {same} THEN 'PASS' ELSE 'FAIL' END AS status,
+      CASE WHEN len(f) < 2 THEN 'Field present in fewer than 2 documents' WHEN {same} THEN 'All values match' ELSE 'Mismatch: ' || array_to_string(list_transform(f, lambda x: x.l || '=' || x.v), ', ') END AS detail,
+      CASE WHEN len(f) < 2 THEN '{names}' ELSE array_to_string(list_transform(f, lambda x: x.l), '|') END AS sources
+    FROM (SELECT k, f, list_transform(f, lambda x: {bare}) AS b FROM (SELECT k, {found} AS f FROM d{" WHERE " + " AND ".join(f"({v}) IS NOT NULL" for v in sources.values()) if both else ""}))"""
+
+
+SQL["consistency_all"] = _CUST + " " + " UNION ALL ".join([
+    _compared("vehicle_registration_number", {"FNOL Form": "name", "RC": "CASE WHEN k % 6 = 1 THEN 'other' ELSE lower(name) END", "FIR": "CASE WHEN k % 7 <> 0 THEN name END", "Photo Log": "CASE WHEN k % 10 = 0 THEN 'other' ELSE name END"}),
+    _compared("vehicle_make", {"FNOL Form": "seg", "RC": "CASE k % 4 WHEN 0 THEN seg || ' ltd (new)' WHEN 1 THEN 'other' ELSE lower(seg) END"}, loose=True),
+    _compared("vehicle_model", {"FNOL Form": "seg || ' one'", "RC": "CASE k % 3 WHEN 0 THEN seg || 'ONE x' WHEN 1 THEN 'two' END"}, loose=True),
+    _compared("fir_number", {"FNOL Form": "name", "FIR": "CASE k % 3 WHEN 0 THEN lower(name) WHEN 1 THEN 'FIR-1' END"}),
+    _compared("incident_date", {"FNOL Form": "'05-03-2024'", "FIR": "CASE WHEN k % 2 = 0 THEN '05-03-2024' ELSE '06-03-2024' END"}),
+    _compared("police_station", {"FNOL Form": "'North Gate'", "FIR": "CASE k % 4 WHEN 0 THEN ' north gate' WHEN 1 THEN 'South' ELSE 'NORTHGATE' END"}),
+    _compared("policy_number", {"FNOL Form": "name", "RC": "CASE WHEN k % 5 = 1 THEN 'P-1' WHEN k % 5 > 1 THEN name END"}),
+    _compared("third_party_vehicle_reg", {"FNOL Form": "CASE WHEN k % 4 <> 0 THEN name END", "FIR": "CASE k % 3 WHEN 0 THEN name || ' (A)' WHEN 1 THEN 'other' END"}, loose=True, both=True),
+    _compared("adjuster_id", {"FNOL Form": "seg", "Photo Log": "CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'X' ELSE seg END"}),
+    """SELECT k, 'driving_licence_validity', CASE WHEN k % 5 = 0 OR k % 6 = 0 THEN 'PASS' ELSE 'FAIL' END,
+      CASE WHEN k % 5 = 0 OR k % 6 = 0 THEN 'DL valid: ' || CASE WHEN k % 5 = 0 THEN 'Yes, valid' ELSE 'no' END || ' | Status: ' || CASE WHEN k % 6 = 0 THEN 'INACTIVE' ELSE 'expired' END ELSE 'DL validity unclear — valid: no, status: expired' END, 'Driving Licence' FROM d""",
+])
 QUERIES = {k: globals()[k] for k in SQL}

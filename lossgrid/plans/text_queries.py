@@ -20,6 +20,14 @@ def pii_entity_counts(spark, sf):
     return d.unionByName(p).groupBy("source").agg(*sums)
 
 
+def pii_entity_counts_all(spark, sf):
+    """All fourteen rules over documents and pages, unmerged: native counts, but for addresses, which the linear search finds."""
+    d = b.table(spark, sf, "documents").select(F.lit("documents").alias("source"), "text")
+    p = b.table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("html").alias("text"))
+    count = {t: pii.count_of(F.col("text"), pattern) for t, pattern in _PATTERN.items() if t != "ADDRESS"} | {"ADDRESS": pii.addresses(F.col("text"))}
+    return d.unionByName(p).groupBy("source").agg(*[F.sum(count[t].cast("long")).alias(t.lower()) for t in _PATTERN])
+
+
 def _pages(spark, sf):
     """Customers' pages: each has an e-mail address, some a card or a long number that is not masked."""
     c = b.table(spark, sf, "customer")
@@ -80,6 +88,11 @@ def chunk_documents(spark, sf):
     return retrieval.chunk_pages(d).groupBy("source").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"), F.min("chunk_id").alias("first_id"))
 
 
+def chunk_mean_words(spark, sf):
+    d = b.table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.lit(1).alias("page_num"), "text")
+    return retrieval.mean_words(retrieval.chunk_pages(d))
+
+
 def _index(spark, sf):
     e = b.table(spark, sf, "embeddings")
     return e.select(F.concat(F.lit("ns"), (F.col("label") % 2).cast("string")).alias("namespace"), F.format_string("c-%06d", "vec_id").alias("chunk_id"), "embedding", F.col("vec_id").alias("n"))
@@ -154,4 +167,6 @@ SQL = {
     "rag_context": _TOP + """SELECT question_id, string_agg('[Context ' || place || ' | ' || namespace || ' | ' || CASE WHEN n % 2 = 0 THEN 'Page ' || n % 9 ELSE 'Pages ' || n % 9 || '-' || (n % 9 + 1) END || ' | relevance: ' || printf('%.4f', score) || ']' || chr(10) || chunk_id, chr(10) || chr(10) ORDER BY place) AS context FROM best WHERE place <= 6 GROUP BY question_id""",
     "rag_history_last6": "WITH t AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t) SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars FROM r WHERE r <= 6",
 }
+SQL["pii_entity_counts_all"] = "SELECT source, " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{_re(t)}'))) AS BIGINT) AS {t.lower()}" for t in _PATTERN) + " FROM (SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'pages', html FROM pages) GROUP BY source"
+SQL["chunk_mean_words"] = SQL["chunk_documents"].replace("CAST(sum(m) AS BIGINT) AS words, min(id) AS first_id", "round(CAST(sum(m) AS DOUBLE) / count(*), 1) AS mean_words")
 QUERIES = {k: globals()[k] for k in (*SQL, "pii_spans_merged", "pii_masked_text")}
