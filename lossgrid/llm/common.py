@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -34,18 +35,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lossgrid/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_passing: list[list[str]] = []
+#: The passing tables of the innermost passing() of this thread, if any.
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
 
 
 @contextlib.contextmanager
 def passing(spark: SparkSession):
     """Tables saved inside go at its end, but those saved to stay; nothing that is read later may hang on them."""
     paths: list[str] = []
-    _passing.append(paths)
+    before = _passing.set(paths)
     try:
         yield
     finally:
-        _passing.remove(paths)
+        _passing.reset(before)
         for path in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
@@ -55,8 +57,8 @@ def save(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _passing and not stays:
-        _passing[-1].append(path)
+    if (paths := _passing.get()) is not None and not stays:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -112,3 +114,15 @@ def totals_before(df: DataFrame, order: list, sums: dict[str, F.Column], name: s
     # one row a range: as many as there are shuffle partitions
     out = local.join(F.broadcast(whole), "_pid")
     return out.select(*df.columns, *[(F.col(f"_i_{k}") + F.col(f"_t_{k}")).alias(k) for k in sums])
+
+
+#: A table expression for DuckDB, which has no crc32: the 256 steps of its polynomial. It begins a WITH list, RECURSIVE as others may be.
+CRC32 = """RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS steps FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))
+),"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for crc32 of a text's UTF-8, where crc_table is joined in."""
+    digits = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"

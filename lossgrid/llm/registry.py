@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ans, crf, licenses, mixing, near_dup, packing, quality_rules, topk, toxicity, warc
+from . import ans, crf, licenses, mixing, near_dup, packing, quality_rules, topk, toxicity, variants, warc
 
 QUERIES = {
     "op6_near_dup": near_dup.op6_near_dup,
@@ -13,10 +13,12 @@ QUERIES = {
     "op4_rans": ans.op4_rans,
     "op5_mix": mixing.op5_mix,
     "op9_warc": warc.op9_warc,
+    "op13_variants": variants.op13_variants,
 }
 
 ORACLES = {
     "op7_topk": topk.SQL,
     "op5_mix": mixing.SQL,
     "op9_warc": warc.SQL,
+    "op13_variants": variants.SQL,
 }
