@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import ans, crf, licenses, mixing, near_dup, packing, quality_rules, topk, toxicity, variants, warc
+from . import ans, brown, crf, licenses, mixing, near_dup, packing, quality_rules, topk, toxicity, turns, variants, warc
 
 QUERIES = {
     "op6_near_dup": near_dup.op6_near_dup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op4_rans": ans.op4_rans,
     "op5_mix": mixing.op5_mix,
     "op9_warc": warc.op9_warc,
+    "op11_turns": turns.op11_turns,
+    "op12_brown": brown.op12_brown,
     "op13_variants": variants.op13_variants,
 }
 
@@ -20,5 +22,6 @@ ORACLES = {
     "op7_topk": topk.SQL,
     "op5_mix": mixing.SQL,
     "op9_warc": warc.SQL,
+    "op11_turns": turns.SQL,
     "op13_variants": variants.SQL,
 }
