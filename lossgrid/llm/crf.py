@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -286,23 +286,28 @@ def fit(chains: list[np.ndarray], labels: list[int], steps: int = STEPS) -> Mode
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> Model | None:
-    """Fit on at most per_label documents of each label, the first by a hash of doc_id, as long as they have at most so many lines
-    together; a document is taken with all its lines.
+    """Fit on at most per_label documents of each label, taken by a hash of doc_id while there is room for all their lines: of a label
+    they have at most so many lines together, and a document that doesn't fit is passed over, not those after it.
 
-    Rows held out (crc32 of doc_id mod 5 is 0) and null labels are left out; of labels that contradict the smaller counts.
-    None if one label is missing.
+    Rows held out (crc32 of doc_id mod 5 is 0) and null labels are left out; of labels that contradict the smaller counts; a doc_id with
+    several rows counts once, with its least text. None if of one label there is no document that fits.
     """
+    common.ready(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     by = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     picked = known.filter("y = 0").orderBy(*by).limit(per_label).unionByName(known.filter("y = 1").orderBy(*by).limit(per_label))
     # at most twice per_label ids are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("m", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-    rows = common.save(rows.withColumn("m", F.coalesce("m", F.lit(1))), "crf-sample")
-    # the window sees per_label documents of a label, without their texts
-    upto = Window.partitionBy("y").orderBy(*by, "m").rowsBetween(Window.unboundedPreceding, 0)
-    fits = rows.groupBy("y", "doc_id").agg(F.sum("m").alias("m")).withColumn("total", F.sum("m").over(upto)).filter(F.col("total") <= lines)
-    chosen = rows.select("doc_id", "y", "text").join(F.broadcast(fits.select("doc_id")), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = common.save(rows.withColumn("m", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1), "crf-sample")
+    room, fits = {0: lines, 1: lines}, []
+    # a few numbers of each of at most twice per_label documents
+    for r in rows.select("doc_id", "y", "m").orderBy(*by).collect():
+        if r["m"] <= room[r["y"]]:
+            room[r["y"]] -= r["m"]
+            fits.append((r["doc_id"],))
+    chosen = rows.join(F.broadcast(rows.sparkSession.createDataFrame(fits, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}")), "doc_id").select("doc_id", "y", "text")
 
     def run(batches):
         for pdf in batches:
