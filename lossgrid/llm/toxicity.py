@@ -135,13 +135,16 @@ def fit(ids: np.ndarray, rows: list[tuple[dict, dict, int]], labels: list[int],
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model | None:
     """Fit on so many documents of each label at most, the first by a hash of doc_id; rows held out and null labels
-    are left out. None if one label is missing. Only the chosen features' values reach the driver."""
+    are left out; a doc_id with several rows counts once, with its least text. None if one label is missing. Only the chosen
+    features' values reach the driver."""
+    common.ready(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     by = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     picked = known.filter("y = 1").orderBy(*by).limit(sample[1]).unionByName(known.filter("y = 0").orderBy(*by).limit(sample[0]))
     # as many ids as the sample is large are broadcast
-    chosen = common.save(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    chosen = common.save(chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "toxic-sample")
     n = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
