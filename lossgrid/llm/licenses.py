@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from . import common
 
 #: A word: ASCII letters and digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A to Z are lowered.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GRAM = 3
 #: Diagonals so near to each other are one span: words put in or left out.
 SLACK = 2
@@ -84,36 +90,81 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
 
     near = Window.partitionBy(*key, "tpl").orderBy("diagonal")
     opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > SLACK, F.lit(True))
-    info = F.broadcast(table.select("tpl", "label", "exact", "tw", F.size("tw").alias("m")))
-    lines = lines.join(info.select("tpl", "exact", "m"), "tpl").withColumn("span", F.when(F.col("exact"), F.col("diagonal")).otherwise(F.sum(opens.cast("int")).over(near)))
+    info = F.broadcast(table.select("tpl", "exact", F.size("tw").alias("m")))
+    lines = lines.join(info, "tpl").withColumn("span", F.when(F.col("exact"), F.col("diagonal")).otherwise(F.sum(opens.cast("int")).over(near)))
     spans = lines.groupBy(*key, "tpl", "exact", "m", "span").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     grams_of = F.col("m") - (GRAM - 1)
     spans = spans.filter(F.when(F.col("exact"), F.col("votes") == grams_of).otherwise(F.col("votes") >= F.greatest(F.lit(2), grams_of * VOTES)))
-    spans = spans.join(info.select("tpl", "label", "tw"), "tpl")
-    by_doc = spans.groupBy(*key).agg(F.collect_list(F.struct("label", "exact", "low", "high", "m", "tw")).alias("found"))
+    by_doc = spans.groupBy(*key).agg(F.collect_list(F.struct("tpl", "low", "high")).alias("found"))
     by_doc = common.save(by_doc, "license-spans")
 
     joined = whole.alias("a").join(by_doc.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.h").eqNullSafe(F.col("b.h")), "left")
-    w = joined.select("a.doc_id", words_of(F.col("a.text")).alias("w"), F.coalesce("found", F.array()).alias("found"))
-
-    def verified(s):
-        first = F.greatest(s["low"], F.lit(0))
-        window = F.slice(F.col("w"), first + 1, s["m"] + (s["high"] - s["low"]))
-        want = F.array_distinct(s["tw"])
-        cover = F.when(s["exact"], (window == s["tw"]).cast("double")).otherwise(F.size(F.array_intersect(want, window)) / F.size(want))
-        return F.struct(s["label"].alias("label"), s["exact"].alias("exact"), first.cast("long").alias("first"), F.size(window).alias("words"), cover.alias("cover"))
-
-    w = w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform("found", verified).alias("spans"))
-    base = F.filter("spans", lambda s: s["exact"] & (s["cover"] == 1.0))
-    meet = lambda s, t: (t["first"] < s["first"] + s["words"]) & (s["first"] < t["first"] + t["words"])
-    better = lambda s: F.exists("spans", lambda t: (t["cover"] > s["cover"]) & meet(s, t))
-    # of sentences that differ in a word or two, the one that fits best names the place
-    own = F.filter("spans", lambda s: (s["exact"] & (s["cover"] == 1.0)) | ((s["cover"] >= COVER) & ~better(s)))
-    names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda s: s["label"]))), ",")
-    starts = F.transform(base, lambda s: s["first"])
-    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0))
-    return w.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(own).alias("labels"), score.alias("score"), "spans")
+    n_words = F.coalesce(F.regexp_count("a.text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
+    # texts without a vote stay here
+    said = verify(phrases, templates)(F.when(F.col("found").isNotNull(), F.col("a.text")), F.col("found"))
+    return joined.select("a.doc_id", n_words.alias("n_words"), said.alias("s")).select("doc_id", "n_words", "s.*")
+
+
+def beaten(first: list[int], end: list[int], cover: list[float]) -> list[bool]:
+    """Of each span, whether one with a greater cover shares a word with it. The best come first; what they take up is kept as runs that
+    do not touch, so each span is looked up once."""
+    out, starts, ends, waiting = [False] * len(first), [], [], []
+    order = sorted(range(len(first)), key=lambda i: -cover[i])
+    for place, i in enumerate(order):
+        if place and cover[i] < cover[order[place - 1]]:
+            for j in sorted(waiting, key=lambda j: first[j]):
+                lo, hi = bisect.bisect_left(ends, first[j]), bisect.bisect_right(starts, end[j])
+                run = (min([first[j], *starts[lo : lo + 1]]), max([end[j], *ends[max(lo, hi - 1) : hi]])) if lo < hi else (first[j], end[j])
+                starts[lo:hi], ends[lo:hi] = [run[0]], [run[1]]
+            waiting = []
+        at = bisect.bisect_right(ends, first[i])
+        out[i] = at < len(starts) and starts[at] < end[i]
+        if end[i] > first[i]:
+            waiting.append(i)
+    return out
+
+
+VERIFIED = "n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,exact:boolean,first:long,words:int,cover:double>>"
+
+
+def verify(phrases, templates):
+    """A column function: a text and its voted spans (tpl, low, high) to VERIFIED. Linear in words and spans but for sorting."""
+    known = [(label, True, p.split()) for p, label in phrases.items()] + [(label, False, t.split()) for label, t in templates]
+    word = re.compile(WORD)
+
+    def one(text, found):
+        words = word.findall((text or "").encode().lower().decode()) if found is not None else []
+        spans = []
+        for f in found if found is not None else ():
+            label, exact, want = known[f["tpl"]]
+            first = max(f["low"], 0)
+            window = words[first : first + len(want) + f["high"] - f["low"]]
+            cover = float(window == want) if exact else len(set(want).intersection(window)) / len(set(want))
+            spans.append((label, exact, first, len(window), cover))
+        base = [s for s in spans if s[1] and s[4] == 1]
+        # of sentences that differ in a word or two, the one that fits best names the place
+        worse = beaten([s[2] for s in spans], [s[2] + s[3] for s in spans], [s[4] for s in spans])
+        own = {s[0] for s, w in zip(spans, worse) if s[4] >= COVER and not w} | {s[0] for s in base}
+        starts = [s[2] for s in base]
+        return (len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({s[0] for s in base})), ",".join(sorted(own)), max((s[4] for s in spans), default=0.0), spans)
+
+    names = [c.split()[0] for c in VERIFIED.split(", ")]
+    fields = ("label", "exact", "first", "words", "cover")
+
+    def run(texts: pd.Series, founds: pd.Series) -> pd.DataFrame:
+        rows = [one(t, f) for t, f in zip(texts, founds)]
+        made = pd.DataFrame(rows, columns=names).astype({"first_word": "Int64", "last_word": "Int64"})
+        made["spans"] = [[dict(zip(fields, s)) for s in r[-1]] for r in rows]
+        return made
+
+    return F.pandas_udf(run, VERIFIED)
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
+    """A row a row of documents: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    Null and empty texts have no words, no label and the score 0; a null doc_id is kept; repeated rows are each returned; a very long
+    text with very many notices takes time by its length; spans of equal cover that meet all name their place; other columns take no
+    part, whatever their names; an empty table gives no rows.
+    """
     return scan(common.read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
