@@ -66,10 +66,8 @@ def name_key(value: Column) -> Column:
     return F.regexp_replace(F.upper(value), r"\s+", "")
 
 
-def listed(value: Column) -> Column:
-    """A pipe-delimited list. Null: an empty one."""
-    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.split(value, r"\|"))
-
-
-def label_of(code: Column) -> Column:
-    return F.initcap(F.replace(code, F.lit("_"), F.lit(" ")))
+def last_wins(entries: Column) -> Column:
+    """A map of an array of structs (key, value); of a key that repeats the last value counts, in the place of its first. Null: null."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    value = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+    return F.map_from_arrays(keys, F.transform(keys, value))

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Columns of the register.
 COLUMNS = ("fnol_id", "member_id", "policy_number", "vehicle_reg", "incident_date", "incident_type", "fnol_received_at", "fnol_age_hours", "aging_risk", "adjuster_id", "triage_status", "escalation_flag", "escalation_reason", "triage_json_path", "triage_pdf_path", "doc_links", "registered_at")
 DEFAULTS = {"fnol_age_hours": 0.0, "aging_risk": "LOW", "triage_status": "PENDING", "escalation_flag": False}
@@ -42,14 +44,24 @@ def new_rows(claims: DataFrame, registered_at: dt.datetime) -> DataFrame:
 
 
 def append(register: DataFrame, claims: DataFrame, registered_at: dt.datetime) -> DataFrame:
-    """register with a new row for each of claims behind its last, in the order of their fnol_id; its own columns and types only."""
+    """register with a new row for each of claims behind its last, in the order of their fnol_id, with the positions that follow its last
+    one by one; its own columns and types only."""
     last = register.agg(F.coalesce(F.max("row_pos"), F.lit(-1)).alias("_last"))
-    added = new_rows(claims, registered_at).orderBy("fnol_id").withColumn("_nth", F.monotonically_increasing_id())
-    added = added.crossJoin(F.broadcast(last)).withColumn("row_pos", F.col("_last") + 1 + F.col("_nth"))  # one row
+    added = numbered(new_rows(claims, registered_at), ["fnol_id"], "_nth")
+    added = added.crossJoin(F.broadcast(last)).withColumn("row_pos", F.col("_last") + F.col("_nth"))  # one row
     kinds = {f.name: f.dataType for f in register.schema.fields}
     return register.unionByName(added.select(*[(F.col(c) if c in added.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]))
 
 
+def number_batch(register: DataFrame, claims: DataFrame, year: int, order: list) -> DataFrame:
+    """claims with fnol_id: the numbers that follow the register's highest, one by one in the order. An id has four digits at least."""
+    p = F.split("fnol_id", "-")
+    n = F.when((F.size(p) == 3) & (F.element_at(p, 1) == PREFIX), F.element_at(p, 3).try_cast("int"))
+    last = register.agg(F.coalesce(F.max(n), F.lit(0)).cast("long").alias("_last"))
+    out = numbered(claims, order, "_nth").crossJoin(F.broadcast(last))  # one row
+    return out.select(F.format_string(f"{PREFIX}-%d-%04d", F.lit(year), F.col("_last") + F.col("_nth")).alias("fnol_id"), *claims.columns)
+
+
 UPDATED = ("triage_status", "escalation_flag", "escalation_reason", "triage_json_path", "triage_pdf_path")
 
 
