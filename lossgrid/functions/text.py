@@ -70,4 +70,4 @@ def last_wins(entries: Column) -> Column:
     """A map of an array of structs (key, value); of a key that repeats the last value counts, in the place of its first. Null: null."""
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     value = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, value))
+    return F.when(F.size(keys) == F.size(entries), F.map_from_entries(entries)).otherwise(F.map_from_arrays(keys, F.transform(keys, value)))

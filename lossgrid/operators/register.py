@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import save
+from ..sources.versioned import Versioned
 from .numbering import numbered
 
 #: Columns of the register.
@@ -23,6 +25,13 @@ def look_up(register: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(first, key("id") == key("fnol_id"))
 
 
+def member_policies(policies: DataFrame, member_ids: DataFrame) -> DataFrame:
+    """Each policy of each asked member (id), a row with all the policy's columns, in the register's order; unknown members have no row."""
+    key = lambda c: F.upper(F.trim(F.col(c).cast("string")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("row_pos")) - 1
+    return member_ids.join(policies, key("id") == key("member_id")).withColumn("place", place)
+
+
 def look_up_member(policies: DataFrame, member_ids: DataFrame) -> DataFrame:
     """Each asked member (id) with the list of its policies; unknown members have no row."""
     j = member_ids.join(policies, F.upper(F.trim(F.col("id").cast("string"))) == F.upper(F.trim(F.col("member_id").cast("string"))))
@@ -89,6 +98,32 @@ def unmatched(register: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.join(register.select("fnol_id"), F.trim(changes["fnol_id"].cast("string")) == F.trim(register["fnol_id"].cast("string")), "left_anti")
 
 
+def kept_update(table: Versioned, changes: DataFrame, batch: str) -> int:
+    """update of a register that stays, keyed by fnol_id: only the buckets of changed ids are read and written. Ids that it lacks are an error."""
+    m = table.manifest()
+    if m and batch in m["batches"]:
+        return m["version"]
+    own = changes.withColumn("fnol_id", F.trim(F.col("fnol_id").cast("string")))
+    rows = table.read(table.touched(own), m)
+    asked = own.select("fnol_id").distinct()
+    lost = asked.join(rows.select("fnol_id"), "fnol_id", "left_anti").limit(5).collect()
+    if lost:
+        raise LookupError(f"not in the register: {', '.join(str(r['fnol_id']) for r in lost)}")
+    return table.upsert(update(rows.join(asked, "fnol_id", "left_semi"), own), batch)
+
+
+def kept_append(table: Versioned, claims: DataFrame, year: int, order: list, registered_at: dt.datetime, batch: str) -> int:
+    """claims put into a register that stays, with the numbers and positions that follow its last; those of a batch that is in are not made again."""
+    m = table.manifest()
+    if m and batch in m["batches"]:
+        return m["version"]
+    rows = table.read(version=m)
+    last = rows.agg(F.coalesce(F.max("row_pos"), F.lit(-1)).alias("_last"))
+    ids = save(number_batch(rows, claims, year, order), "register-batch")
+    new = append(rows.limit(0), ids, registered_at).crossJoin(F.broadcast(last)).withColumn("row_pos", F.col("row_pos") + F.col("_last") + 1)  # one row
+    return table.upsert(new.drop("_last"), batch)
+
+
 def of_member(records: DataFrame, member: str | None) -> DataFrame:
     """Records that a member may read: those whose own, known member it is, trimmed and in any case. Nobody reads a record without one."""
     asked = (member or "").strip().upper()

@@ -11,18 +11,27 @@ BROADCAST_QUESTIONS = 2000
 NO_CONTEXT = "No relevant content found in the guidelines."
 
 
+#: Pages of a source that are counted together; a source of any length is as many pieces of work as it has such ranges.
+PAGE_RANGE = 256
+
+
 def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """pages (source, page_num, text) to sliding windows of words: chunk_id, chunk_index, source, page_start, page_end, text, word_count.
 
-    Each page finds the windows that it reaches from the running number of words and cuts its part of each, so no
-    source is gathered whole. A source without words gives none.
+    Each page finds the windows that it reaches from the number of words before it and cuts its part of each. Pages are dealt by
+    source and range of PAGE_RANGE pages; what stands before a range is known from the ranges' counts, so of a source only
+    these numbers meet, never its words. A source without words gives none.
     """
     step = max(1, size - overlap)
     p = pages.select("source", "page_num", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    w = Window.partitionBy("source").orderBy("page_num")
-    p = p.withColumn("at", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = F.sum("n").over(Window.partitionBy("source"))
-    p = p.withColumn("last", F.floor((F.greatest(F.lit(1), total - size + step) - 1) / step))  # index of the last window
+    p = p.withColumn("range", F.floor(F.col("page_num") / PAGE_RANGE))
+    counts = pages.select("source", F.floor(F.col("page_num") / PAGE_RANGE).alias("range"), _count_words(F.col("text")).alias("n")).groupBy("source", "range").agg(F.sum("n").alias("n")).filter("n > 0")
+    order = Window.partitionBy("source").orderBy("range")
+    before = counts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("source")).alias("total"))
+    inside = Window.partitionBy("source", "range").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    p = p.join(before, F.col("source").eqNullSafe(F.col("_s")) & F.col("range").eqNullSafe(F.col("_r"))).withColumn("at", F.col("at") + F.col("before"))
+    p = p.withColumn("last", F.floor((F.greatest(F.lit(1), F.col("total") - size + step) - 1) / step))  # index of the last window
     lo = F.greatest(F.lit(0), F.floor((F.col("at") - size) / step) + 1)
     hi = F.least(F.col("last"), F.floor((F.col("at") + F.col("n") - 1) / step))
     p = p.filter(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi)))
@@ -35,11 +44,21 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
     return got.select(chunk_id(F.col("source"), F.col("k"), F.col("text")).alias("chunk_id"), F.col("k").cast("int").alias("chunk_index"), "source", "page_start", "page_end", "text", "word_count")
 
 
+def _count_words(text: Column) -> Column:
+    """The number of words that a split at white space gives, without making them. Null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+
+
 def chunk_id(source: Column, index: Column, text: Column) -> Column:
     source = source.cast("string")
     return F.format_string("%s-chunk-%03d-%s", source, index.cast("long"), F.substring(F.md5(F.concat(source, F.lit(":"), text)), 1, 12))
 
 
+def whole_mean_words(chunks: DataFrame) -> DataFrame:
+    """Chunks and mean words a chunk of each source, whole words, the rest cut off."""
+    return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.floor(F.sum("word_count") / F.count("*")).alias("mean_words"))
+
+
 def mean_words(chunks: DataFrame) -> DataFrame:
     """Chunks and mean words a chunk of each source, to one decimal."""
     return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.round(F.avg("word_count"), 1).alias("mean_words"))
@@ -66,8 +85,13 @@ def statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("namespace").agg(F.count("*").alias("vectors"))
 
 
+def with_dimension(index: DataFrame, dim: int) -> DataFrame:
+    """index with ok: whether a row's vector has the dimension; null has none."""
+    return index.withColumn("ok", F.coalesce(F.size("embedding") == dim, F.lit(False)))
+
+
 def wrong_dimension(index: DataFrame, dim: int) -> DataFrame:
-    return index.filter(F.coalesce(F.size("embedding"), F.lit(-1)) != dim)
+    return with_dimension(index, dim).filter("NOT ok").drop("ok")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -99,7 +99,7 @@ def register_append(spark, sf):
 
 def mean_chunk_words(spark, sf):
     d = b.table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.lit(1).alias("page_num"), "text")
-    return retrieval.mean_words(retrieval.chunk_pages(d))
+    return retrieval.whole_mean_words(retrieval.chunk_pages(d))
 
 
 def timing_totals(spark, sf):
@@ -144,7 +144,7 @@ SQL = {
     "register_append": intake_queries._REG + """ SELECT fnol_id, member_id, 'PENDING' AS triage_status, false AS escalation_flag, false AS is_new FROM reg
         UNION ALL SELECT 'FNOL-2030-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), c_custkey, 'PENDING', false, true FROM customer""",
     "mean_chunk_words": f"""WITH f AS (SELECT doc_id AS source, {text_queries._WORDS} AS ws FROM documents), s AS (SELECT *, unnest(range(0, greatest(1, len(ws) - 400 + 350), 350)) AS st FROM f WHERE len(ws) > 0)
-        SELECT source, count(*) AS chunks, round(avg(len(ws[st + 1 : st + 400])), 1) AS mean_words FROM s GROUP BY source""",
+        SELECT source, count(*) AS chunks, CAST(sum(len(ws[st + 1 : st + 400])) // count(*) AS BIGINT) AS mean_words FROM s GROUP BY source""",
     "timing_totals": """WITH e AS (SELECT user_id AS run_id, event_id AS idx, epoch_us(ts) / 1e6 AS mark, max(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6 AS fin FROM events),
         d AS (SELECT run_id, idx, round(coalesce(lead(mark) OVER w, fin) - mark, 3) AS dur, round(mark - first_value(mark) OVER w, 3) AS off FROM e WINDOW w AS (PARTITION BY run_id ORDER BY idx))
         SELECT run_id, round(arg_max(off + dur, idx), 3) AS total_duration_s, CAST(count(*) AS INTEGER) AS steps FROM d GROUP BY run_id""",

@@ -48,6 +48,14 @@ def redaction_confidence(spark, sf):
     return pii.confidence(done).select("claim_id", F.col("residual_hits").cast("long").alias("residual_hits"), F.round("density_score", 4).alias("density_score"), "confidence_score", "confidence_label", "proceed_status")
 
 
+def redaction_density(spark, sf):
+    """Of a fifth of the pages nothing is personal; long ones among them lower the density of their claim."""
+    k = F.col("page_num")
+    plain = _pages(spark, sf).withColumn("raw_text", F.when(k % 5 == 0, F.repeat(F.lit("text "), (k % 30).cast("int"))).otherwise(F.col("raw_text")))
+    out = pii.confidence(pii.redact(plain))
+    return out.select("claim_id", "text_pages", "with_spans", F.round("density_score", 4).alias("density_score"), "confidence_score", "proceed_status")
+
+
 def _fields(spark, sf):
     c = b.table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -99,7 +107,7 @@ def _index(spark, sf):
 
 
 def embed_dim_check(spark, sf):
-    return _index(spark, sf).withColumn("ok", F.size("embedding") == 64).groupBy("namespace", "ok").agg(F.count("*").alias("n"))
+    return retrieval.with_dimension(_index(spark, sf), 64).groupBy("namespace", "ok").agg(F.count("*").alias("n"))
 
 
 def namespace_stats(spark, sf):
@@ -151,6 +159,11 @@ SQL = {
     "redaction_confidence": _PG + """, s AS (SELECT claim_id, sum(ref) AS hits, CASE WHEN count(*) FILTER (WHERE n > 100) > 0 THEN 1.0 ELSE 1.0 END AS density, greatest(0.0, 1.0 - CAST(sum(ref) AS DOUBLE) * CAST(0.15 AS DOUBLE)) AS residual FROM pg GROUP BY claim_id),
         c AS (SELECT *, round(CAST(0.4 AS DOUBLE) + residual * CAST(0.3 AS DOUBLE) + CAST(0.2 AS DOUBLE) + CAST(0.6 AS DOUBLE) * CAST(0.1 AS DOUBLE), 3) AS score FROM s)
         SELECT claim_id, CAST(hits AS BIGINT) AS residual_hits, CAST(density AS DOUBLE) AS density_score, score AS confidence_score, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.65 THEN 'MODERATE' ELSE 'LOW' END AS confidence_label, CASE WHEN score >= 0.85 THEN 'PROCEED' WHEN score >= 0.65 THEN 'WARN' ELSE 'HOLD' END AS proceed_status FROM c""",
+    "redaction_density": _PG.replace("5 * (c_custkey % 30) AS n", "5 * (c_custkey % 30) AS long, 5 * (c_custkey % 30) AS short, c_custkey % 5 = 0 AS plain").replace(" FROM customer)", " FROM customer)") + """, p AS (SELECT claim_id, CASE WHEN plain THEN short ELSE long END AS n, plain FROM pg),
+        s AS (SELECT claim_id, count(*) FILTER (WHERE n > 100) AS text_pages, count(*) FILTER (WHERE n > 100 AND NOT plain) AS with_spans, bool_or(NOT plain) AS any FROM p GROUP BY claim_id),
+        d AS (SELECT *, CASE WHEN text_pages > 0 THEN CAST(with_spans AS DOUBLE) / text_pages ELSE CAST(1.0 AS DOUBLE) END AS density FROM s),
+        c AS (SELECT *, round(CAST(0.4 AS DOUBLE) + CAST(0.3 AS DOUBLE) + density * CAST(0.2 AS DOUBLE) + CAST(0.6 AS DOUBLE) * CAST(0.1 AS DOUBLE), 3) AS score FROM d)
+        SELECT claim_id, text_pages, with_spans, round(density, 4) AS density_score, score AS confidence_score, CASE WHEN score >= 0.85 THEN 'PROCEED' WHEN score >= 0.65 THEN 'WARN' ELSE 'HOLD' END AS proceed_status FROM c""",
     "spii_leak_check": "SELECT c_custkey AS claim_id, CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'FNOL_REGISTRATION_FORM.note' ELSE 'FIR.note' END ELSE '' END AS leaked, CASE WHEN c_custkey % 7 = 0 THEN CAST(0.75 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS spii_score FROM customer",
     "field_split": "SELECT c_custkey AS claim_id, CASE WHEN c_custkey % 2 = 0 THEN 'note|officer_in_charge' ELSE 'adjuster_id|member_id|note' END AS safe_fields, CASE WHEN c_custkey % 2 = 1 THEN 'officer_in_charge' WHEN c_custkey % 3 = 0 THEN 'member_id' ELSE 'adjuster_id|member_id' END AS protected FROM customer",
     "chunk_pages": f"""WITH t AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL), w AS (SELECT conv_id, turn, {_WORDS} AS ws FROM t),
