@@ -2,67 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import contextvars
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.session import on_workers
+from ..sources.shared import new_path, passing, save, shared_dir
+
+__all__ = ["fresh", "hash_fraction", "new_path", "passing", "read", "ready", "save", "shared_dir", "totals_before"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset on a single machine (tests) one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not path:
-        own = tempfile.mkdtemp(prefix="lossgrid-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lossgrid/{name}-{uuid.uuid4().hex[:12]}"
-
-
-#: The passing tables of the innermost passing() of this thread, if any.
-_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
-
-
-@contextlib.contextmanager
-def passing(spark: SparkSession):
-    """Tables saved inside go at its end, but those saved to stay; nothing that is read later may hang on them."""
-    paths: list[str] = []
-    before = _passing.set(paths)
-    try:
-        yield
-    finally:
-        _passing.reset(before)
-        for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def save(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    if (paths := _passing.get()) is not None and not stays:
-        paths.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of df has them, whatever its case."""
     taken = {c.lower() for c in df.columns}
