@@ -116,6 +116,11 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
         left = index.withColumn("_part", F.pmod(F.xxhash64("namespace", "chunk_id"), F.lit(parts)).cast("int")).withColumn("_ask", each(asks))
         right = questions.withColumn("_ask", F.pmod(F.xxhash64("question_id"), F.lit(asks)).cast("int")).withColumn("_part", each(parts))
         met = left.join(right, ["_ask", "_part"]).drop("_ask", "_part")
+    return placed(met, k)
+
+
+def placed(met: DataFrame, k: int) -> DataFrame:
+    """Questions beside vectors (question_id, vector, namespace, chunk_id, embedding, ..): of each namespace the k nearest, and the place of each."""
     pairs = met.withColumn("raw", cosine(F.col("vector"), F.col("embedding"))).drop("vector", "embedding")
     best = F.row_number().over(Window.partitionBy("question_id", "namespace").orderBy(F.desc("raw"), "chunk_id"))
     near = pairs.withColumn("r", best).filter(F.col("r") <= k).withColumn("score", F.round("raw", 4))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pii, retrieval
+from ..operators import nearest, pii, retrieval
 from ..sources import bindings as b
 
 #: Rules on which every engine agrees about word boundaries in these texts.
@@ -130,6 +130,11 @@ def retrieve_topk(spark, sf):
     return retrieval.retrieve(_questions(spark, sf), _index(spark, sf)).select("question_id", "place", "namespace", "chunk_id", "score")
 
 
+def retrieve_pivots(spark, sf):
+    """The same by an index in cells, which skips those that cannot be near."""
+    return nearest.retrieve(_questions(spark, sf), nearest.build(_index(spark, sf))).select("question_id", "place", "namespace", "chunk_id", "score")
+
+
 def rag_context(spark, sf):
     q = _questions(spark, sf)
     found = retrieval.retrieve(q, _index(spark, sf))
@@ -180,6 +185,7 @@ SQL = {
     "rag_context": _TOP + """SELECT question_id, string_agg('[Context ' || place || ' | ' || namespace || ' | ' || CASE WHEN n % 2 = 0 THEN 'Page ' || n % 9 ELSE 'Pages ' || n % 9 || '-' || (n % 9 + 1) END || ' | relevance: ' || printf('%.4f', score) || ']' || chr(10) || chunk_id, chr(10) || chr(10) ORDER BY place) AS context FROM best WHERE place <= 6 GROUP BY question_id""",
     "rag_history_last6": "WITH t AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t) SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars FROM r WHERE r <= 6",
 }
+SQL["retrieve_pivots"] = SQL["retrieve_topk"]
 SQL["pii_entity_counts_all"] = "SELECT source, " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{_re(t)}'))) AS BIGINT) AS {t.lower()}" for t in _PATTERN) + " FROM (SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'pages', html FROM pages) GROUP BY source"
 SQL["chunk_mean_words"] = SQL["chunk_documents"].replace("CAST(sum(m) AS BIGINT) AS words, min(id) AS first_id", "round(CAST(sum(m) AS DOUBLE) / count(*), 1) AS mean_words")
 QUERIES = {k: globals()[k] for k in (*SQL, "pii_spans_merged", "pii_masked_text")}
