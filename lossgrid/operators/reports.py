@@ -78,5 +78,41 @@ def snapshot_pairs(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("claim_id", F.explode(rows).alias("p")).select("claim_id", "p.*")
 
 
+def _rows(df: DataFrame, pairs: list[tuple[str, F.Column]]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(pairs)])
+    return df.select("claim_id", F.explode(each).alias("p")).select("claim_id", "p.*")
+
+
+#: How the history section says that a flag is up or down.
+ACTIVE_30, ACTIVE_3, NOT_TRIGGERED, NO_DISCREPANCY = "ACTIVE — prior claim within 30 days", "ACTIVE (threshold: 3+)", "Not triggered", "No discrepancy found"
+
+
+def history_pairs(assessed: DataFrame) -> DataFrame:
+    """The seven pairs of the history section of claims with their history: claim_id, pos, label, value. What is not known reads None or N/A."""
+    text = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    flag = lambda c, up: F.when(F.col(c), up).otherwise(NOT_TRIGGERED)
+    return _rows(assessed, [
+        ("Prior claims on this vehicle (36 months)", text("prior_claims_36m_count", "0")), ("Last claim date", text("last_claim_date", "None")), ("Days since last claim", text("days_since_last_claim", "N/A")),
+        ("Back-to-back flag", flag("back_to_back_flag", ACTIVE_30)), ("12-month cross-policy claims", text("prior_claims_12m_count", "0")), ("Repeat claimant flag", flag("repeat_claimant_flag", ACTIVE_3)),
+        ("NCB cross-check", text("ncb_discrepancy", NO_DISCREPANCY)),
+    ])
+
+
+def aging_pairs(cases: DataFrame) -> DataFrame:
+    """The four pairs of the aging section of cases after triage.aging."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
+    return _rows(cases, [("FNOL Age (hours)", text("fnol_age_hours")), ("Risk Level", text("aging_risk_level")), ("SLA Due", text("sla_due")), ("SLA Breached", text("sla_breached"))])
+
+
+def register_cards(records: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """What the register shows of each record: its fields (label to column) as pairs, a dash for what is missing, and after them a pair for each reason
+    of escalation: fnol_id, pos, label, value."""
+    said = F.array(*[F.struct(F.lit(label).alias("label"), F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("—")).alias("value")) for label, c in fields.items()])
+    reasons = F.when(F.coalesce("escalation_reason", F.lit("")) != "", F.split("escalation_reason", r"\|")).otherwise(F.array().cast("array<string>"))
+    shown = F.concat(said, F.transform(reasons, lambda r: F.struct(F.lit("Escalation").alias("label"), r.alias("value"))))
+    return records.select("fnol_id", F.posexplode(shown).alias("pos", "p")).select("fnol_id", "pos", "p.*")
+
+
 def pending_documents(checklist: DataFrame) -> DataFrame:
-    return checklist.filter("NOT received")
+    """Of each claim's checklist what is not there, with when it is due, in order: claim_id, pos, name, blocking, collection_target."""
+    return checklist.filter("NOT received").select("claim_id", "pos", "name", "blocking", "collection_target")
