@@ -39,7 +39,7 @@ def snapshot_section(spark, sf):
 
 
 def _fit(spark, sf):
-    return coverage.applicable_clauses(intake_queries._insured(spark, sf, True), intake_queries._clauses(spark, sf, True))
+    return coverage.applicable_clauses(intake_queries._insured(spark, sf), intake_queries._clauses(spark, sf))
 
 
 def _coverage_verdicts(fit):
@@ -50,12 +50,12 @@ def _coverage_verdicts(fit):
 
 def coverage_rows(spark, sf):
     fit = _fit(spark, sf)
-    return case.coverage_rows(intake_queries._insured(spark, sf, True), fit, _coverage_verdicts(fit))
+    return case.coverage_rows(intake_queries._insured(spark, sf), fit, _coverage_verdicts(fit))
 
 
 def _exclusions(spark, sf):
-    x = intake_queries._clauses(spark, sf, True).select("policy_number", F.col("clause_ref").alias("exclusion_code"), "active", F.col("excluded_types").alias("applicable_incident_types"), "reinstatement_addon", "display_order", "row_pos")
-    fit = coverage.applicable_exclusions(intake_queries._insured(spark, sf, True), x)
+    x = intake_queries._clauses(spark, sf).select("policy_number", F.col("clause_ref").alias("exclusion_code"), "active", F.col("excluded_types").alias("applicable_incident_types"), "reinstatement_addon", "display_order", "row_pos")
+    fit = coverage.applicable_exclusions(intake_queries._insured(spark, sf), x)
     k = F.col("row_pos")
     said = fit.filter(k % 3 != 0).select("claim_id", F.col("exclusion_code").alias("code"), F.concat(F.lit("Exclusion "), "exclusion_code").alias("name"), F.lit("General").alias("clause_ref"), F.when(k % 2 == 0, "LOW").otherwise("HIGH").alias("confidence"), F.lit("seen").alias("reason_relevant"))
     return case.exclusion_rows(fit, said)

@@ -155,64 +155,46 @@ def claim_snapshot(spark, sf):
     return coverage.find_policy(asked, _policies(spark, sf)).select("claim_id", "found_by", F.col("p.policy_number").alias("policy_number"), F.col("p.policy_status").alias("policy_status"), F.col("p.idv").alias("idv"))
 
 
-def _clauses(spark, sf, every=False):
-    """Parts as clauses; with every, the clauses of the policies of all claims, four a policy."""
+def _clauses(spark, sf):
+    """Parts as clauses of the policies of all claims, four a policy."""
     p = b.table(spark, sf, "part")
     k = F.col("p_partkey")
     some = F.array(F.when(k % 5 == 0, "ALL").otherwise("FIRE"), F.when(k % 2 == 0, "THEFT_COMPLETE").otherwise("VANDALISM"))
-    policy = F.shiftright(k, 2) if every else k % 500
+    policy = F.shiftright(k, 2)
     return p.select(policy.alias("policy_number"), k.alias("row_pos"), k.cast("string").alias("clause_ref"), F.col("p_name").alias("section_name"), some.alias("applicable_incident_types"), F.when(k % 3 == 0, F.array(F.lit("COMPREHENSIVE"))).otherwise(F.array().cast("array<string>")).alias("coverage_type_filter"), F.when(k % 7 == 0, "NCB_PROTECT").otherwise("").alias("addon_required"),
                     (k % 11 != 0).alias("active"), F.when(k % 5 == 0, "SMALL").when(k % 5 == 1, "FIRE|VANDALISM").otherwise("FIRE|THEFT_COMPLETE").alias("excluded_types"), F.when(k % 4 == 0, "ROADSIDE").alias("reinstatement_addon"), (F.col("p_size") % 10).alias("display_order"))
 
 
-def _insured(spark, sf, every=False):
-    """The claims with a number up to 500, as the SQL has them; with every, all claims, by member to policies of a few clauses each."""
+def _insured(spark, sf):
+    """All claims, by member to policies of a few clauses each."""
     k = F.col("claim_id")
-    c, policy = (b.claims(spark, sf), F.shiftright("member_id", 2)) if every else (b.claims(spark, sf).filter(k <= 500), k % 500)
-    return c.select("claim_id", policy.alias("policy_number"), "incident_type", "policy_status", F.when(k % 2 == 0, "COMPREHENSIVE").otherwise("THIRD_PARTY").alias("coverage_type"), F.when(k % 3 == 0, F.array(F.lit("NCB_PROTECT"))).when(k % 3 == 1, F.array(F.lit("ROADSIDE"))).otherwise(F.array().cast("array<string>")).alias("addons"))
+    policy = F.shiftright("member_id", 2)
+    return b.claims(spark, sf).select("claim_id", policy.alias("policy_number"), "incident_type", "policy_status", F.when(k % 2 == 0, "COMPREHENSIVE").otherwise("THIRD_PARTY").alias("coverage_type"), F.when(k % 3 == 0, F.array(F.lit("NCB_PROTECT"))).when(k % 3 == 1, F.array(F.lit("ROADSIDE"))).otherwise(F.array().cast("array<string>")).alias("addons"))
 
 
-def clause_filter(spark, sf, every=False):
-    return coverage.applicable_clauses(_insured(spark, sf, every), _clauses(spark, sf, every)).select("claim_id", "clause_ref")
+def clause_filter_all(spark, sf):
+    return coverage.applicable_clauses(_insured(spark, sf), _clauses(spark, sf)).select("claim_id", "clause_ref")
 
 
-def exclusion_filter(spark, sf, every=False):
-    x = _clauses(spark, sf, every).select("policy_number", F.col("clause_ref").alias("exclusion_code"), "active", F.col("excluded_types").alias("applicable_incident_types"), "reinstatement_addon", "display_order", "row_pos")
-    return coverage.applicable_exclusions(_insured(spark, sf, every), x).select("claim_id", "exclusion_code", "display_order", "place")
+def exclusion_filter_all(spark, sf):
+    x = _clauses(spark, sf).select("policy_number", F.col("clause_ref").alias("exclusion_code"), "active", F.col("excluded_types").alias("applicable_incident_types"), "reinstatement_addon", "display_order", "row_pos")
+    return coverage.applicable_exclusions(_insured(spark, sf), x).select("claim_id", "exclusion_code", "display_order", "place")
 
 
-def coverage_rollup(spark, sf, every=False):
-    claims, clauses = _insured(spark, sf, every), _clauses(spark, sf, every)
+def coverage_rollup_all(spark, sf):
+    claims, clauses = _insured(spark, sf), _clauses(spark, sf)
     fit = coverage.applicable_clauses(claims, clauses)
     k = F.col("row_pos")
     verdicts = fit.filter(k % 13 != 0).select("claim_id", F.when(k % 2 == 0, "COVERED").otherwise("NOT_COVERED").alias("status"), F.when(k % 9 == 0, "LOW").when(k % 9 < 3, "MODERATE").otherwise("HIGH").alias("confidence"))
     return coverage.coverage_rollup(claims, fit, verdicts)
 
 
-def clause_filter_all(spark, sf):
-    return clause_filter(spark, sf, True)
-
-
-def exclusion_filter_all(spark, sf):
-    return exclusion_filter(spark, sf, True)
-
-
-def coverage_rollup_all(spark, sf):
-    return coverage_rollup(spark, sf, True)
-
-
 def _register(spark, sf):
     o = b.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     return o.select(F.format_string("FNOL-%d-%04d", F.lit(2020) + (k % 5).cast("int"), k).alias("fnol_id"), F.col("o_custkey").alias("member_id"), F.lit("PENDING").alias("triage_status"), F.lit(False).alias("escalation_flag"), F.lit(None).cast("string").alias("escalation_reason"), F.lit(None).cast("string").alias("triage_json_path"), F.lit(None).cast("string").alias("triage_pdf_path"), k.alias("row_pos"))
 
 
-def register_lookup(spark, sf):
-    reg = _register(spark, sf)
-    ids = reg.filter("row_pos % 10 = 0").select(F.concat(F.lit(" "), F.lower("fnol_id")).alias("id"))
-    return register.look_up(reg, ids).select("id", "fnol_id", "member_id")
-
-
 def register_lookup_all(spark, sf):
     """Every id of the register, and as many that it does not have; those have no row."""
     reg = _register(spark, sf)
@@ -264,11 +246,11 @@ _GAP = b.SQL + f""", g AS (
   FROM claims c JOIN {_NEED} ON replace(c.incident_type, '_', '') = m.kind)
 """
 _CUST = """WITH d AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, c_nationkey % 3 AS t FROM customer)"""
-_INS = b.SQL + """, ins AS (
-  SELECT claim_id, claim_id % 500 AS policy_number, incident_type, policy_status, CASE WHEN claim_id % 2 = 0 THEN 'COMPREHENSIVE' ELSE 'THIRD_PARTY' END AS coverage_type,
-    CASE claim_id % 3 WHEN 0 THEN ['NCB_PROTECT'] WHEN 1 THEN ['ROADSIDE'] ELSE [] END AS addons FROM claims WHERE claim_id <= 500
+_INS_ALL = b.SQL + """, ins AS (
+  SELECT claim_id, member_id // 4 AS policy_number, incident_type, policy_status, CASE WHEN claim_id % 2 = 0 THEN 'COMPREHENSIVE' ELSE 'THIRD_PARTY' END AS coverage_type,
+    CASE claim_id % 3 WHEN 0 THEN ['NCB_PROTECT'] WHEN 1 THEN ['ROADSIDE'] ELSE [] END AS addons FROM claims
 ), cl AS (
-  SELECT p_partkey AS k, p_partkey % 500 AS policy_number, [CASE WHEN p_partkey % 5 = 0 THEN 'ALL' ELSE 'FIRE' END, CASE WHEN p_partkey % 2 = 0 THEN 'THEFT_COMPLETE' ELSE 'VANDALISM' END] AS types, p_size FROM part
+  SELECT p_partkey AS k, p_partkey // 4 AS policy_number, [CASE WHEN p_partkey % 5 = 0 THEN 'ALL' ELSE 'FIRE' END, CASE WHEN p_partkey % 2 = 0 THEN 'THEFT_COMPLETE' ELSE 'VANDALISM' END] AS types, p_size FROM part
 ), fit AS (
   SELECT claim_id, k FROM ins JOIN cl USING (policy_number)
   WHERE (list_contains(types, incident_type) OR list_contains(types, 'ALL')) AND (k % 3 <> 0 OR coverage_type = 'COMPREHENSIVE') AND (k % 7 <> 0 OR list_contains(addons, 'NCB_PROTECT')))
@@ -307,15 +289,15 @@ SQL = {
         v AS (SELECT vehicle_reg, min(claim_id) AS first_id FROM claims GROUP BY vehicle_reg)
         SELECT f.claim_id, CASE WHEN NOT lost THEN 'policy_number' WHEN first_id IS NOT NULL THEN 'vehicle_reg' END AS found_by, 'P' || p.policy_number AS policy_number, p.policy_status, p.idv
         FROM f LEFT JOIN v ON v.vehicle_reg = f.reg LEFT JOIN claims p ON p.claim_id = CASE WHEN lost THEN first_id ELSE f.claim_id END""",
-    "clause_filter": _INS + "SELECT claim_id, CAST(k AS VARCHAR) AS clause_ref FROM fit",
-    "exclusion_filter": _INS + """, x AS (SELECT claim_id, k, CASE WHEN p_size % 10 = 0 THEN 99 ELSE p_size % 10 END AS o FROM ins JOIN cl USING (policy_number)
+    "clause_filter_all": _INS_ALL + "SELECT claim_id, CAST(k AS VARCHAR) AS clause_ref FROM fit",
+    "exclusion_filter_all": _INS_ALL + """, x AS (SELECT claim_id, k, CASE WHEN p_size % 10 = 0 THEN 99 ELSE p_size % 10 END AS o FROM ins JOIN cl USING (policy_number)
         WHERE k % 11 <> 0 AND (k % 5 = 0 OR list_contains(string_split(CASE WHEN k % 5 = 1 THEN 'FIRE|VANDALISM' ELSE 'FIRE|THEFT_COMPLETE' END, '|'), incident_type)) AND NOT (k % 4 = 0 AND list_contains(addons, 'ROADSIDE')))
         SELECT claim_id, CAST(k AS VARCHAR) AS exclusion_code, CAST(o AS INTEGER) AS display_order, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY o, k) AS INTEGER) AS place FROM x""",
-    "coverage_rollup": _INS + """, n AS (SELECT claim_id, count(*) AS n, count(*) FILTER (WHERE k % 13 <> 0) AS j, count(*) FILTER (WHERE k % 13 <> 0 AND k % 2 = 0) AS cov, count(*) FILTER (WHERE k % 13 <> 0 AND k % 9 = 0) AS low, count(*) FILTER (WHERE k % 13 <> 0 AND k % 9 >= 3) AS high FROM fit GROUP BY claim_id)
+    "coverage_rollup_all": _INS_ALL + """, n AS (SELECT claim_id, count(*) AS n, count(*) FILTER (WHERE k % 13 <> 0) AS j, count(*) FILTER (WHERE k % 13 <> 0 AND k % 2 = 0) AS cov, count(*) FILTER (WHERE k % 13 <> 0 AND k % 9 = 0) AS low, count(*) FILTER (WHERE k % 13 <> 0 AND k % 9 >= 3) AS high FROM fit GROUP BY claim_id)
         SELECT claim_id, CASE WHEN policy_status IN ('LAPSED', 'CANCELLED') THEN false ELSE coalesce(cov, 0) > 0 END AS coverage_applicable,
           CASE WHEN policy_status IN ('LAPSED', 'CANCELLED') THEN 'HIGH' WHEN n IS NULL THEN 'LOW' WHEN j = high THEN 'HIGH' WHEN low > 0 THEN 'LOW' ELSE 'MODERATE' END AS coverage_confidence,
           CASE WHEN policy_status IN ('LAPSED', 'CANCELLED') THEN 'NOT_COVERED' WHEN n IS NULL THEN 'REQUIRES_VERIFICATION' ELSE 'JUDGED' END AS coverage_case FROM ins LEFT JOIN n USING (claim_id)""",
-    "register_lookup": _REG + " SELECT ' ' || lower(fnol_id) AS id, fnol_id, member_id FROM reg WHERE k % 10 = 0",
+    "register_lookup_all": _REG + " SELECT ' ' || lower(fnol_id) AS id, fnol_id, member_id FROM reg",
     "register_update": _REG + " SELECT fnol_id, member_id, CASE WHEN k % 4 = 0 THEN 'ESCALATED' ELSE 'PENDING' END AS triage_status, k % 4 = 0 AS escalation_flag, CASE WHEN k % 4 = 0 THEN 'REPEAT_CLAIMANT' END AS escalation_reason, CASE WHEN k % 4 = 0 THEN fnol_id || '.json' END AS triage_json_path, CAST(NULL AS VARCHAR) AS triage_pdf_path, k AS row_pos FROM reg",
     "next_fnol_number": _REG + " SELECT 'FNOL-2026-' || CASE WHEN max(k) + 1 < 10000 THEN lpad(CAST(max(k) + 1 AS VARCHAR), 4, '0') ELSE CAST(max(k) + 1 AS VARCHAR) END AS fnol_id FROM reg",
     "member_lookup": "SELECT c_custkey AS id, count(*) AS n_policies, min(o_orderkey) AS first_policy FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
@@ -329,12 +311,6 @@ SQL = {
           CAST(sum(length(CASE kind WHEN 'bullet' THEN trim(regexp_replace(line, '^[•\\-*– ]+', '')) WHEN 'sub' THEN trim(regexp_replace(line, '^[0-9]+[.):] *', '')) ELSE line END)) AS BIGINT) AS chars FROM n GROUP BY 1, 2""",
     "report_sections": _SECTION,
 }
-#: The coverage queries and the lookup once more, over all claims and the whole register; these stand for the ones that keep a part.
-_INS_ALL = _INS.replace(" WHERE claim_id <= 500", "").replace("claim_id % 500 AS", "member_id // 4 AS").replace("p_partkey % 500 AS", "p_partkey // 4 AS")
-SQL |= {f"{k}_all": SQL[k].replace(_INS, _INS_ALL) for k in ("clause_filter", "exclusion_filter", "coverage_rollup")}
-SQL["register_lookup_all"] = _REG + " SELECT ' ' || lower(fnol_id) AS id, fnol_id, member_id FROM reg"
-for _part in ("clause_filter", "exclusion_filter", "coverage_rollup", "register_lookup"):
-    del SQL[_part]
 SQL["report_sections_all"] = _SECTION + "".join(
     f" UNION ALL SELECT claim_id, '{s}', {i}, '{label}', coalesce(CAST({sql} AS VARCHAR), '—') FROM shown"
     for s, pairs in {
