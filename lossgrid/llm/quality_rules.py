@@ -210,8 +210,3 @@ def kept_rows(docs: DataFrame, refs: dict[str, dict[str, list[float]]] | None =
     work = [f"c{i}" for i in range(len(docs.columns))]
     measured = docs.toDF(*work).withColumn("f", features(F.col(work[docs.columns.index("text")])))
     return judge(common.save(measured, "quality-measured"), refs).filter("kept").select(*work).toDF(*docs.columns)
-
-
-def keep_good(docs: DataFrame) -> DataFrame:
-    """kept_rows without a column named f."""
-    return kept_rows(docs).select(*[c for c in docs.columns if c != "f"])

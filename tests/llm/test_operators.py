@@ -76,9 +76,9 @@ def test_js_distance(spark):
 def test_rules_keep_columns_and_reject_noise(spark):
     good, bad = [prose(300, quality_rules.FREQUENT["en"] + [f"w{i}" for i in range(300)]) for _ in range(30)], " ".join("the Word%$#" + str(i) for i in range(300))
     df = spark.createDataFrame([(i, t, "f") for i, t in enumerate([*good, bad])], "doc_id long, text string, f string")
-    kept = quality_rules.keep_good(df)
-    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == list(range(30)) and kept.columns == ["doc_id", "text"]
-    assert quality_rules.keep_good(df.limit(0)).count() == 0
+    kept = quality_rules.kept_rows(df)
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == list(range(30)) and kept.columns == ["doc_id", "text", "f"]
+    assert quality_rules.kept_rows(df.limit(0)).count() == 0
 
 
 def test_counterfactual_regularisation(spark):
