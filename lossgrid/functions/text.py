@@ -66,8 +66,17 @@ def name_key(value: Column) -> Column:
     return F.regexp_replace(F.upper(value), r"\s+", "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value made once, however often use names it: a lambda binds it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def last_wins(entries: Column) -> Column:
     """A map of an array of structs (key, value); of a key that repeats the last value counts, in the place of its first. Null: null."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    value = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    return F.when(F.size(keys) == F.size(entries), F.map_from_entries(entries)).otherwise(F.map_from_arrays(keys, F.transform(keys, value)))
+
+    def merged(e: Column) -> Column:
+        keys = F.array_distinct(F.transform(e, lambda x: x["key"]))
+        value = lambda k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]
+        return F.when(F.size(keys) == F.size(e), F.map_from_entries(e)).otherwise(F.map_from_arrays(keys, F.transform(keys, value)))
+
+    return bound(entries, merged)
