@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from ..sources.session import on_workers
 from ..sources.shared import save
-from . import retrieval
+from . import blocks, retrieval
 
 #: Pivots of an index, and rings of angle around each: cells are at most their product for a namespace, and one for zero vectors.
 PIVOTS, RINGS = 64, 16
 #: Vectors, and questions, that meet in one task at a time.
 BLOCK, ASKED = 4096, 1024
-#: More than rounding can make of a cosine.
-SLACK = 1e-9
+#: The cell of vectors whose cosines only the expression knows (blocks.is_odd); every question meets it.
+ODD = -2
 
 
 def _unit(vectors) -> np.ndarray:
@@ -53,13 +53,14 @@ def build(index: DataFrame, pivots: int = PIVOTS, rings: int = RINGS) -> Pivoted
     def place(vectors: pd.Series) -> pd.DataFrame:
         unit = _unit(list(vectors))
         if not len(at) or unit.shape[1] != at.shape[1]:
-            return pd.DataFrame({"cell": [-1] * len(unit), "angle": [0.0] * len(unit)})
+            return pd.DataFrame({"cell": [ODD if blocks.is_odd(v) else -1 for v in vectors], "angle": [0.0] * len(unit)})
         cos = np.clip(unit @ at.T, -1, 1)
         best = cos.argmax(axis=1)
         angle = np.arccos(cos[np.arange(len(unit)), best])
         zero = ~(unit != 0).any(axis=1)
+        odd = np.array([blocks.is_odd(v) for v in vectors], bool)
         ring = np.minimum((angle / math.pi * rings).astype(int), rings - 1)
-        return pd.DataFrame({"cell": np.where(zero, -1, best * rings + ring), "angle": np.where(zero, 0.0, angle)})
+        return pd.DataFrame({"cell": np.where(odd, ODD, np.where(zero, -1, best * rings + ring)), "angle": np.where(zero, 0.0, angle)})
 
     placed = index.withColumn("_p", F.pandas_udf(place, "cell int, angle double")("embedding")).select("*", F.col("_p.cell").alias("cell"), F.col("_p.angle").alias("angle")).drop("_p")
     placed = save(placed, "pivoted")
@@ -81,6 +82,7 @@ def _bounds(pivots: np.ndarray, rings: int, unit: np.ndarray, cells: pd.DataFram
         out[:, near] = np.cos(np.minimum(apart, math.pi))
     # the cosine with a zero vector is 0, of a zero question with all
     out[~(unit != 0).any(axis=1)] = 0
+    out[:, cell == ODD] = 2
     return out
 
 
@@ -93,21 +95,8 @@ def _scored(pivoted: Pivoted, asks: DataFrame, k: int, counter=None) -> DataFram
     met = met.join(many.select("namespace", "cell", "asks"), ["namespace", "cell"]).withColumn("ask", F.pmod(F.xxhash64("question_id"), F.col("asks")).cast("int")).drop("asks")
     vectors = pivoted.rows.select("namespace", "cell", "split", "chunk_id", "embedding").join(many.select("namespace", "cell", "asks"), ["namespace", "cell"])
     vectors = vectors.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).drop("asks")
-    key = ["namespace", "cell", "split", "ask"]
-    kind = asks.schema["question_id"].dataType.simpleString()
-
-    def meet(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"question_id": [], "namespace": [], "chunk_id": [], "raw": []})
-        if not len(left) or not len(right):
-            return none
-        if counter is not None:
-            counter.add(len(left) * len(right))
-        raw = _unit(list(left["vector"])) @ _unit(list(right["embedding"])).T
-        cut = np.partition(raw, raw.shape[1] - k, axis=1)[:, -k] if raw.shape[1] > k else np.full(len(raw), -2.0)
-        i, j = np.nonzero(raw >= np.maximum(cut, left["least"].to_numpy())[:, None] - SLACK)
-        return pd.DataFrame({"question_id": left["question_id"].to_numpy()[i], "namespace": key_[0], "chunk_id": right["chunk_id"].to_numpy()[j], "raw": raw[i, j]})
-
-    return met.groupBy(*key).cogroup(vectors.groupBy(*key)).applyInPandas(meet, f"question_id {kind}, namespace string, chunk_id string, raw double")
+    # the namespace is told by the vectors' rows
+    return blocks.met(met.withColumnRenamed("namespace", "_ns"), vectors.withColumn("_ns", F.col("namespace")), ["_ns", "cell", "split", "ask"], k, counter)
 
 
 def retrieve(questions: DataFrame, pivoted: Pivoted, k: int = 3, counter=None) -> DataFrame:
@@ -147,16 +136,13 @@ def retrieve(questions: DataFrame, pivoted: Pivoted, k: int = 3, counter=None) -
             for name in by_name:
                 least = np.array([{r["namespace"]: r["least"] for r in x}.get(name, -2.0) for x in pdf["least_of"]], float)
                 bound = _bounds(pivots, rings, unit, by_name[name])
-                yield rows(pdf, name, (bound >= least[:, None] - SLACK) & ~seeds(unit, name), least)
+                yield rows(pdf, name, (bound >= least[:, None] - blocks.SLACK) & ~seeds(unit, name), least)
 
     plain = questions.select("question_id", F.col("vector").cast("array<double>").alias("vector"))
     begun = save(_scored(pivoted, plain.mapInPandas(first, asked), k, counter), "nearest-first")
     rank = F.row_number().over(Window.partitionBy("question_id", "namespace").orderBy(F.desc("raw")))
-    least = begun.withColumn("_r", rank).filter(F.col("_r") == k).groupBy("question_id").agg(F.collect_list(F.struct("namespace", F.col("raw").alias("least"))).alias("least_of"))
+    least = begun.filter("raw IS NOT NULL").withColumn("_r", rank).filter(F.col("_r") == k).groupBy("question_id").agg(F.collect_list(F.struct("namespace", F.col("raw").alias("least"))).alias("least_of"))
     with_least = plain.join(least, "question_id", "left").withColumn("least_of", F.coalesce("least_of", F.array().cast("array<struct<namespace:string,least:double>>")))
     more = _scored(pivoted, with_least.mapInPandas(second, asked), k, counter)
     found = begun.unionByName(more)
-    top = F.row_number().over(Window.partitionBy("question_id", "namespace").orderBy(F.desc("raw")))
-    kth = F.max(F.when(F.col("_n") == k, F.col("raw"))).over(Window.partitionBy("question_id", "namespace"))
-    near = found.withColumn("_n", top).withColumn("_k", F.coalesce(kth, F.lit(-2.0))).filter(F.col("raw") >= F.col("_k") - SLACK).select("question_id", "namespace", "chunk_id")
-    return retrieval.placed(near.join(plain, "question_id").join(pivoted.rows.drop("cell", "split"), ["namespace", "chunk_id"]), k)
+    return retrieval.placed(retrieval.rejoined(blocks.best(found, k), plain, pivoted.rows.drop("cell", "split")), k)

@@ -119,6 +119,13 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
     return placed(met, k)
 
 
+def rejoined(found: DataFrame, questions: DataFrame, index: DataFrame) -> DataFrame:
+    """found (question_id, namespace, chunk_id) with the question's vector and the columns of the index; nulls are equal."""
+    f = found.select(F.col("question_id").alias("_fq"), F.col("namespace").alias("_fn"), F.col("chunk_id").alias("_fc"))
+    with_index = f.join(index, F.col("_fn").eqNullSafe(index["namespace"]) & F.col("_fc").eqNullSafe(index["chunk_id"])).drop("_fn", "_fc")
+    return with_index.join(questions.select("question_id", "vector"), F.col("_fq").eqNullSafe(F.col("question_id"))).drop("_fq")
+
+
 def placed(met: DataFrame, k: int) -> DataFrame:
     """Questions beside vectors (question_id, vector, namespace, chunk_id, embedding, ..): of each namespace the k nearest, and the place of each."""
     pairs = met.withColumn("raw", cosine(F.col("vector"), F.col("embedding"))).drop("vector", "embedding")
