@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import on_workers
+from ..sources.shared import save
+from . import blocks
+
 CHUNK_WORDS, OVERLAP = 400, 50
-#: Questions that are sent to every task at most.
-BROADCAST_QUESTIONS = 2000
+#: Questions, and vectors, that are sent to one task at most.
+BROADCAST_QUESTIONS, BLOCK = 8192, 8192
 NO_CONTEXT = "No relevant content found in the guidelines."
 
 
@@ -104,19 +108,19 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
     """questions (question_id, vector) and index (namespace, chunk_id, embedding, ..): of each namespace the k nearest by cosine,
     together the 2 * k best, ties by namespace and chunk_id.
 
-    Up to BROADCAST_QUESTIONS go to every task, and the index stays where it is; more are asked in blocks of so many, each block
-    meeting every block of the index. Each task keeps k of a question and namespace before anything moves.
+    Blocks of questions meet blocks of vectors as products of matrices, so every pair is looked at and none becomes a row; what may be among the
+    nearest is scored again by the one expression of cosine. Vectors move once for each BROADCAST_QUESTIONS questions. The index is read twice.
     """
-    n = questions.count()
-    if n <= BROADCAST_QUESTIONS:
-        met = index.crossJoin(F.broadcast(questions))
-    else:
-        asks, parts = -(-n // BROADCAST_QUESTIONS), max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        left = index.withColumn("_part", F.pmod(F.xxhash64("namespace", "chunk_id"), F.lit(parts)).cast("int")).withColumn("_ask", each(asks))
-        right = questions.withColumn("_ask", F.pmod(F.xxhash64("question_id"), F.lit(asks)).cast("int")).withColumn("_part", each(parts))
-        met = left.join(right, ["_ask", "_part"]).drop("_ask", "_part")
-    return placed(met, k)
+    on_workers(index.sparkSession)
+    questions = save(questions.select("question_id", "vector"), "questions")
+    n, m = questions.count(), index.count()
+    wide = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asks, parts = max(1, -(-n // BROADCAST_QUESTIONS)), max(1, -(-m // BLOCK), min(wide, -(-m // 1024)))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = questions.withColumns({"_q": F.pmod(F.xxhash64("question_id"), F.lit(asks)).cast("int"), "least": F.lit(-2.0)}).withColumn("_v", each(parts))
+    right = index.select("namespace", "chunk_id", "embedding", F.pmod(F.xxhash64("namespace", "chunk_id"), F.lit(parts)).cast("int").alias("_v")).withColumn("_q", each(asks))
+    found = blocks.best(blocks.met(left, right, ["_q", "_v"], k), k)
+    return placed(rejoined(found, questions, index), k)
 
 
 def rejoined(found: DataFrame, questions: DataFrame, index: DataFrame) -> DataFrame:
