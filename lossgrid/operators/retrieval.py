@@ -27,9 +27,9 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
     these numbers meet, never its words. A source without words gives none.
     """
     step = max(1, size - overlap)
-    p = pages.select("source", "page_num", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    p = pages.select("source", "page_num", "text", _count_words(F.col("text")).alias("n")).filter("n > 0")
     p = p.withColumn("range", F.floor(F.col("page_num") / PAGE_RANGE))
-    counts = pages.select("source", F.floor(F.col("page_num") / PAGE_RANGE).alias("range"), _count_words(F.col("text")).alias("n")).groupBy("source", "range").agg(F.sum("n").alias("n")).filter("n > 0")
+    counts = p.groupBy("source", "range").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("source").orderBy("range")
     before = counts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("source")).alias("total"))
     inside = Window.partitionBy("source", "range").orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,13 +38,20 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
     p = p.withColumn("last", F.floor((F.greatest(F.lit(1), F.col("total") - size + step) - 1) / step))  # index of the last window
     lo = F.greatest(F.lit(0), F.floor((F.col("at") - size) / step) + 1)
     hi = F.least(F.col("last"), F.floor((F.col("at") + F.col("n") - 1) / step))
-    p = p.filter(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi)))
-    begin = F.greatest(F.lit(0), F.col("k") * step - F.col("at"))
-    end = F.least(F.col("n"), F.col("k") * step + size - F.col("at"))
-    part = F.array_join(F.slice("words", (begin + 1).cast("int"), (end - begin).cast("int")), " ")
-    parts = p.select("source", "k", "page_num", part.alias("part"), (end - begin).alias("m"))
-    got = parts.groupBy("source", "k").agg(F.sort_array(F.collect_list(F.struct("page_num", "part"))).alias("parts"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), F.sum("m").cast("int").alias("word_count"))
-    got = got.withColumn("text", F.array_join(F.transform("parts", lambda x: x["part"]), " "))
+    # the text moves as it is, its words are made where its windows are
+    p = p.filter(lo <= hi).withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+
+    def cut(k: Column) -> Column:
+        begin, end = F.greatest(F.lit(0), k * step - F.col("at")), F.least(F.col("n"), k * step + size - F.col("at"))
+        return F.struct(k.alias("k"), F.array_join(F.slice("words", (begin + 1).cast("int"), (end - begin).cast("int")), " ").alias("part"), (end - begin).alias("m"))
+
+    windows = lambda p: p.select("source", "page_num", "total", F.explode(F.transform(F.sequence(lo, hi), cut)).alias("w")).select("source", "page_num", "total", "w.*")
+    # a window that one page holds is done; parts of the others meet, and a source's only page has none
+    alone = F.col("m") == F.least(F.lit(size), F.col("total") - F.col("k") * step)
+    whole = windows(p).filter(alone).select("source", "k", F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"), F.col("m").cast("int").alias("word_count"), F.col("part").alias("text"))
+    crossing = windows(p.filter("n < total")).filter(~alone).groupBy("source", "k").agg(F.sort_array(F.collect_list(F.struct("page_num", "part"))).alias("parts"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), F.sum("m").cast("int").alias("word_count"))
+    crossing = crossing.withColumn("text", F.array_join(F.transform("parts", lambda x: x["part"]), " ")).drop("parts")
+    got = whole.unionByName(crossing)
     return got.select(chunk_id(F.col("source"), F.col("k"), F.col("text")).alias("chunk_id"), F.col("k").cast("int").alias("chunk_index"), "source", "page_start", "page_end", "text", "word_count")
 
 
