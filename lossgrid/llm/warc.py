@@ -19,6 +19,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
+#: Payloads stand on disk twice while they move to the store: the tables' codec is one for texts.
+CODEC = "zstd"
+
+
 @dataclass(frozen=True)
 class Archive:
     """Paths of the two tables."""
@@ -55,14 +59,14 @@ def write_archive(pages: DataFrame, date: str = DATE, min_bytes: int = 0) -> Arc
     })
     archive = Archive(common.new_path(spark, "warc-headers"), common.new_path(spark, "warc-payloads"))
     with common.passing(spark):
-        base = common.save(base, "warc-rows")
+        base = common.save(base, "warc-rows", codec=CODEC)
         place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")
         firsts = base.groupBy("address").agg(F.min(place).alias("first"))
         firsts = common.save(firsts.select("address", F.col("first.page_id").alias("first_id"), F.col("first.uid").alias("first_uid")), "warc-firsts")
-        base.drop("payload").join(firsts, "address").select("page_id", "uid", "address", F.encode(_header(date, min_bytes), "UTF-8").alias("header")).write.parquet(archive.headers)
+        base.drop("payload").join(firsts, "address").select("page_id", "uid", "address", F.encode(_header(date, min_bytes), "UTF-8").alias("header")).write.parquet(archive.headers, compression=CODEC)
         # the row that the store takes for each address is found by its number, so hot payloads move once
         kept = base.select("uid", "address", "payload").join(firsts.select(F.col("first_uid").alias("uid")), "uid", "left_semi")
-        kept.select("address", "payload").write.parquet(archive.payloads)
+        kept.select("address", "payload").write.parquet(archive.payloads, compression=CODEC)
     return archive
 
 
