@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import embedding, retrieval
 from ..sources import bindings as b
-from ..sources.shared import save
+from ..sources.shared import dealt, save
 from . import text_queries
 
 DIM = 64
@@ -33,7 +33,7 @@ def retrieve_text(spark, sf):
 
 def date_texts(spark, sf):
     """The orders' dates as people write them, in ten ways, read again."""
-    o = b.table(spark, sf, "orders")
+    o = dealt(b.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 10
     day, name, year = F.dayofmonth(d).cast("string"), F.date_format(d, "MMMM"), F.year(d).cast("string")
     end = F.when(F.dayofmonth(d).isin(1, 21, 31), "st").when(F.dayofmonth(d).isin(2, 22), "nd").when(F.dayofmonth(d).isin(3, 23), "rd").otherwise("th")
@@ -42,7 +42,7 @@ def date_texts(spark, sf):
         F.concat(F.date_format(d, "EEEE"), F.lit(", "), day, F.lit(" "), name, F.lit(" "), year, F.lit(" 10:30 am")), F.date_format(d, "d/M/yy"), F.date_format(d, "yyyy-MM-dd'T'10:15:00'Z'"),
         F.concat(F.lit("the "), day, end, F.lit(" of "), F.date_format(d, "MMM"), F.lit(". "), year), F.date_format(d, "yyyy/M/d"), F.concat(day, F.lit(" "), name, F.lit(" "), year, F.lit(" or so")),
     ]
-    text = F.element_at(F.array(*ways), (k + 1).cast("int"))
+    text = F.coalesce(*[F.when(k == i, way) for i, way in enumerate(ways)])  # one way is made, not all ten
     return o.select(F.col("o_orderkey").alias("claim_id"), text.alias("said")).select("claim_id", dates.parse_day(F.col("said"), F.lit(dt.date(2024, 5, 31))).alias("day"))
 
 
