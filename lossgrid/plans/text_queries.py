@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nearest, pii, retrieval
 from ..sources import bindings as b
+from ..sources.shared import dealt
 
 #: Rules on which every engine agrees about word boundaries in these texts.
 SHARED = ("IN_AADHAAR", "EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS", "URL")
@@ -30,7 +31,7 @@ def pii_entity_counts_all(spark, sf):
 
 def _pages(spark, sf):
     """Customers' pages: each has an e-mail address, some a card or a long number that is not masked."""
-    c = b.table(spark, sf, "customer")
+    c = dealt(b.table(spark, sf, "customer").select("c_custkey"), "c_custkey")
     k = F.col("c_custkey")
     text = F.concat(F.lit("Contact u"), k.cast("string"), F.lit("@example.com about the claim. "), F.when(k % 3 == 0, "Card 4111 1111 1111 1111. ").otherwise(""), F.when(k % 4 == 0, "Ref 123456789012. ").otherwise(""), F.repeat(F.lit("text "), (k % 30).cast("int")))
     return c.select((k % 200).alias("claim_id"), k.alias("page_num"), text.alias("raw_text"))
