@@ -13,20 +13,21 @@ SHARED = ("IN_AADHAAR", "EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDR
 _PATTERN = {t: p for t, p, _ in pii.RULES}
 
 
-def pii_entity_counts(spark, sf):
-    """Native counts over documents and pages, unmerged."""
+def _rule_sums(spark, sf, types):
     d = b.table(spark, sf, "documents").select(F.lit("documents").alias("source"), "text")
     p = b.table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("html").alias("text"))
-    sums = [F.sum(pii.count_of(F.col("text"), _PATTERN[t])).alias(t.lower()) for t in SHARED]
-    return d.unionByName(p).groupBy("source").agg(*sums)
+    counted = d.unionByName(p).select("source", pii.rule_counts(F.col("text"), types).alias("n"))
+    return counted.groupBy("source").agg(*[F.sum(F.col("n")[t]).alias(t.lower()) for t in types])
+
+
+def pii_entity_counts(spark, sf):
+    """Counts of the shared rules over documents and pages, unmerged."""
+    return _rule_sums(spark, sf, SHARED)
 
 
 def pii_entity_counts_all(spark, sf):
-    """All fourteen rules over documents and pages, unmerged: native counts, but for addresses, which the linear search finds."""
-    d = b.table(spark, sf, "documents").select(F.lit("documents").alias("source"), "text")
-    p = b.table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("html").alias("text"))
-    count = {t: pii.count_of(F.col("text"), pattern) for t, pattern in _PATTERN.items() if t != "ADDRESS"} | {"ADDRESS": pii.addresses(F.col("text"))}
-    return d.unionByName(p).groupBy("source").agg(*[F.sum(count[t].cast("long")).alias(t.lower()) for t in _PATTERN])
+    """All fourteen rules over documents and pages, unmerged."""
+    return _rule_sums(spark, sf, tuple(_PATTERN))
 
 
 def _pages(spark, sf):
