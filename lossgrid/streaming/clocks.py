@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,36 +28,46 @@ def due(times: list[int], pages: int) -> dict[str, int]:
 
 
 class Clocks(StatefulProcessor):
-    """Keeps the times of a claim's first pages, and a timer for all that is due. Steps come from timers alone, so they do not hang on how
-    rows fall into batches or in which order they come, as long as none comes later than the watermark allows."""
+    """Keeps the times of a claim's first pages and one timer, for what is due next: when it rings, all that is due up to the watermark is told,
+    and the timer is set anew. Steps come from timers alone, so they do not hang on how rows fall into batches or in which order they come, as
+    long as none comes later than the watermark allows: what a page may still change is due after the watermark."""
 
     def __init__(self, pages: int = PAGES):
         self.pages = pages
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "times string")
-
-    def _times(self) -> list[int]:
-        return [int(x) for x in self.first.get()[0].split(",")] if self.first.exists() else []
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self._times()
-        new = sorted([*old, *(int(x) for pdf in rows for x in pdf["at_ms"])])[: self.pages]
+        self.first = handle.getValueState("first", "times string, timer long")
+
+    def _kept(self) -> tuple[list[int], int | None]:
+        times, timer = self.first.get() or ("", None)
+        return [int(x) for x in times.split(",") if x], timer
+
+    def _wait(self, times: list[int], timer: int | None, left: list[int]) -> None:
+        """Keep times, and a timer for the first of left instead of timer."""
+        after = min(left, default=None)
+        if after != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if after is not None:
+                self.handle.registerTimer(after)
+        self.first.update((",".join(map(str, times)), after))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old, timer = self._kept()
+        new = heapq.nsmallest(self.pages, [*old, *(r["at_ms"] for r in rows)])
         if new != old:
-            self.first.update((",".join(map(str, new)),))
-            was, now = set(due(old, self.pages).values()), set(due(new, self.pages).values())
-            for t in was - now:
-                self.handle.deleteTimer(t)
-            for t in now - was:
-                self.handle.registerTimer(t)
+            told = {s for s, t in due(old, self.pages).items() if timer is None or t < timer}
+            self._wait(new, timer, [t for s, t in due(new, self.pages).items() if s not in told])
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        steps = [s for s, t in due(self._times(), self.pages).items() if t == at]
-        if steps:
-            yield pd.DataFrame({"claim_id": [key[0]] * len(steps), "step": steps, "at_ms": [at] * len(steps)})
+        times, _ = self._kept()
+        by = max(at, timerValues.getCurrentWatermarkInMs())
+        left = {s: t for s, t in due(times, self.pages).items() if t >= at}
+        self._wait(times, None, [t for t in left.values() if t > by])
+        yield from (Row(claim_id=key[0], step=s, at_ms=t) for s, t in left.items() if t <= by)
 
     def close(self) -> None:
         pass
@@ -66,7 +76,7 @@ class Clocks(StatefulProcessor):
 def steps(pages: DataFrame, n_pages: int = PAGES, late: str = "0 seconds") -> DataFrame:
     """A stream of pages (claim_id, at) to a stream of steps (STEP): a level reached, or the claim released with its last page."""
     rows = pages.select("claim_id", "at", F.unix_millis("at").alias("at_ms")).withWatermark("at", late)
-    return rows.groupBy("claim_id").transformWithStateInPandas(Clocks(n_pages), STEP, "Append", "EventTime")
+    return rows.groupBy("claim_id").transformWithState(Clocks(n_pages), STEP, "Append", "EventTime")
 
 
 def run(spark: SparkSession, pages: DataFrame, n_pages: int = PAGES) -> DataFrame:
