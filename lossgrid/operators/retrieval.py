@@ -10,8 +10,8 @@ from ..sources.shared import save
 from . import blocks
 
 CHUNK_WORDS, OVERLAP = 400, 50
-#: Questions, and vectors, that are sent to one task at most.
-BROADCAST_QUESTIONS, BLOCK = 8192, 8192
+#: Questions, and vectors, that are sent to one task at most; the numbers in each; tasks that fewer vectors are dealt to, if there are 1,024 for each.
+BROADCAST_QUESTIONS, BLOCK, NUMBERS, TASKS = 16384, 65536, 2**22, 16
 NO_CONTEXT = "No relevant content found in the guidelines."
 
 
@@ -116,15 +116,19 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
     together the 2 * k best, ties by namespace and chunk_id.
 
     Blocks of questions meet blocks of vectors as products of matrices, so every pair is looked at and none becomes a row; what may be among the
-    nearest is scored again by the one expression of cosine. Vectors move once for each BROADCAST_QUESTIONS questions. The index is read twice.
+    nearest is scored again by the one expression of cosine. Vectors move once for each BROADCAST_QUESTIONS questions, questions once for each block
+    of vectors: blocks are as large as memory allows, whatever the number of shuffle partitions, as each gives every question its own nearest.
+    The index is read three times.
     """
     on_workers(index.sparkSession)
     questions = save(questions.select("question_id", "vector"), "questions")
-    n, m = questions.count(), index.count()
-    wide = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asks, parts = max(1, -(-n // BROADCAST_QUESTIONS)), max(1, -(-m // BLOCK), min(wide, -(-m // 1024)))
+    asked, held = (df.agg(F.count("*").alias("n"), F.max(F.size(c)).alias("dim")).first() for df, c in ((questions, "vector"), (index, "embedding")))
+    fit = NUMBERS // max(1, asked["dim"] or 0, held["dim"] or 0)
+    blocks_of = lambda n, most: -(-n // max(1, min(most, fit)))
+    few = min(TASKS, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held["n"] // 1024))
+    asks, parts = max(1, blocks_of(asked["n"], BROADCAST_QUESTIONS)), max(1, blocks_of(held["n"], BLOCK), few)
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = questions.withColumns({"_q": F.pmod(F.xxhash64("question_id"), F.lit(asks)).cast("int"), "least": F.lit(-2.0)}).withColumn("_v", each(parts))
+    left = questions.withColumns({"_q": F.pmod(F.xxhash64("question_id"), F.lit(asks)).cast("int"), "least": F.lit(blocks.NONE)}).withColumn("_v", each(parts))
     right = index.select("namespace", "chunk_id", "embedding", F.pmod(F.xxhash64("namespace", "chunk_id"), F.lit(parts)).cast("int").alias("_v")).withColumn("_q", each(asks))
     found = blocks.best(blocks.met(left, right, ["_q", "_v"], k), k)
     return placed(rejoined(found, questions, index), k)
